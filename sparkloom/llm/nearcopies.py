@@ -1,14 +1,15 @@
 """Problem 4: groups of texts that are alike beyond a threshold, without pairwise comparison.
 
 1. Each text in its one form (problem 5) becomes its set of runs of consecutive words,
-   as 64-bit hashes. The sets are written once to the shared folder.
+   as hashes. The sets are written once to the shared folder.
 2. ProbMinHash: every element arrives at its own times, a Poisson process whose rate is
    the element's weight; each arrival takes a random slot of the signature and holds it
    if it came first. A text is done as soon as its next arrivals come after the latest
    held slot. Two signatures agree in a slot with the probability Jaccard of the weights.
 3. Bands of slots give candidates among class representatives: texts with equal sets are
    one class and are banded once, so exact copies never meet each other in a band.
-4. Candidates are verified by the true Jaccard of the sets.
+4. Candidates are verified by the Jaccard of the whole sets, as 32-bit fingerprints of their
+   runs: two different runs of a pair of texts share one with a probability of about 1e-5.
 
 With unit weights the probability Jaccard is the Jaccard of the sets, which is what the
 threshold of problem 4 is about, so ``p4_found`` uses those; ``weighted=True`` weighs a
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, splitmix, unit
@@ -112,59 +114,57 @@ def sketches(batches: Iterator[pa.RecordBatch], width: int, least: int, bands: i
             [
                 key.take(pa.array(keys)),
                 pa.array(same.view(np.int64)),
-                pa.array(sizes.astype(np.int32)),
                 pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(band.ravel().view(np.int64))),
-                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(element.view(np.int64))),
+                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array((element >> np.uint64(32)).astype(np.uint32).view(np.int32))),
             ],
-            ["key", "same", "n", "bands", "runs"],
+            ["key", "same", "bands", "runs"],
         )
 
 
-def classes(rows: DataFrame, key: str, title: str, text: str, width: int = 3, least: int = 50, bands: int = 64, band_rows: int = 5, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Members ``key, same`` (ids and their class of equal sets), and representatives ``rep, same, n, bands, runs``."""
+def described(rows: DataFrame, key: str, title: str, text: str, width: int = 3, least: int = 50, bands: int = 64, band_rows: int = 5, weighted: bool = False) -> DataFrame:
+    """``key, same, bands, runs``, written to the shared folder: ``same`` is the class of equal sets, ``runs`` 32-bit fingerprints."""
     kind = rows.schema[key].dataType.simpleString()
     made = rows.select(key, title, text).mapInArrow(
-        lambda it: sketches(it, width, least, bands, band_rows, weighted), f"key {kind}, same bigint, n int, bands array<bigint>, runs array<bigint>"
+        lambda it: sketches(it, width, least, bands, band_rows, weighted), f"key {kind}, same bigint, bands array<bigint>, runs array<int>"
     )
-    made = materialize(made, "runs")
-    members = made.select("key", "same").distinct()
-    reps = members.groupBy("same").agg(F.min("key").alias("rep"))
-    chosen = made.join(reps, "same").where("key = rep").dropDuplicates(["same"]).select("rep", "same", "n", "bands", "runs")
-    return members, chosen
+    return materialize(made, "runs")
 
 
-def similar(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``rep_a < rep_b, similarity`` of representatives at or above the threshold.
+def similar(made: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``same_a < same_b, similarity`` of classes at or above the threshold.
 
-    Pairs of a band are candidates; a band that many texts share holds texts that are mostly
-    alike, so its pairs are results. They are spread over tasks by AQE's split of skewed joins.
+    A band that one class alone holds is dropped after one shuffle. Pairs of the others are
+    candidates; a band that many texts share holds texts that are mostly alike, so its pairs
+    are results, spread over tasks by AQE's split of skewed joins.
     """
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    a, b = (banded.withColumnRenamed("rep", f"rep_{x}") for x in "ab")
-    met = a.join(b, "band").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    held = W.partitionBy("band")
+    banded = made.select("same", F.explode("bands").alias("band"))
+    shared = banded.withColumns({"lo": F.min("same").over(held), "hi": F.max("same").over(held)}).where("lo <> hi").select("band", "same")
+    shared = materialize(shared.distinct(), "bands")
+    a, b = (shared.select("band", F.col("same").alias(f"same_{x}")) for x in "ab")
+    met = a.join(b, "band").where("same_a < same_b").select("same_a", "same_b").distinct()
+    sets = made.select("same", "runs").join(shared.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.first("runs").alias("runs"))
     for x in "ab":
-        side = reps.select(F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("runs").alias(f"runs_{x}"))
-        met = met.join(side, f"rep_{x}")
-    shared = F.size(F.array_intersect("runs_a", "runs_b"))
-    return met.select("rep_a", "rep_b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+        met = met.join(sets.select(F.col("same").alias(f"same_{x}"), F.col("runs").alias(f"runs_{x}")), f"same_{x}")
+    both = F.size(F.array_intersect("runs_a", "runs_b"))
+    return met.select("same_a", "same_b", (both / (F.size("runs_a") + F.size("runs_b") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def near_pairs(rows: DataFrame, key: str, title: str, text: str, threshold: float = 0.6, **how) -> DataFrame:
     """``<key>_a < <key>_b``: every pair of ids at or above the threshold, exact copies included."""
-    members, reps = classes(rows, key, title, text, **how)
-    linked = similar(reps, threshold).select("rep_a", "rep_b")
-    whole = members.join(reps.select("rep", "same"), "same").select("rep", "key")
-    a, b = (whole.select(F.col("rep").alias(f"rep_{x}"), F.col("key").alias(x)) for x in "ab")
-    between = linked.join(a, "rep_a").join(b, "rep_b").select("a", "b")
-    within = a.join(b.withColumnRenamed("rep_b", "rep_a"), "rep_a").where("a < b").select("a", "b")
+    made = described(rows, key, title, text, **how)
+    members = made.select("key", "same").distinct()
+    a, b = (members.select(F.col("same").alias(f"same_{x}"), F.col("key").alias(x)) for x in "ab")
+    between = similar(made, threshold).join(a, "same_a").join(b, "same_b").select("a", "b")
+    within = a.join(b.withColumnRenamed("same_b", "same_a"), "same_a").where("a < b").select("a", "b")
     both = between.unionByName(within)
-    return both.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+    return both.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()
 
 
 def near_classes(rows: DataFrame, key: str, title: str, text: str, threshold: float = 0.6, **how) -> DataFrame:
     """``key, class_id, links``: each id with its class of equal sets and the number of other classes it is linked to."""
-    members, reps = classes(rows, key, title, text, **how)
-    pairs = similar(reps, threshold).select("rep_a", "rep_b")
-    ends = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    named = reps.select("rep", "same").join(ends, "rep", "left")
-    return members.join(named, "same").select(F.col("key").alias(key), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    made = described(rows, key, title, text, **how)
+    members = made.select("key", "same").distinct()
+    ends = similar(made, threshold).select(F.explode(F.array("same_a", "same_b")).alias("same")).groupBy("same").agg(F.count("*").alias("links"))
+    named = members.groupBy("same").agg(F.min("key").alias("class_id")).join(ends, "same", "left")
+    return members.join(named, "same").select(F.col("key").alias(key), "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

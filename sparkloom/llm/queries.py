@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, nearcopies, splitting
+from . import leaks, lookalike, nearcopies, splitting, tokens
 from .common import read_table
 
 
@@ -36,6 +36,22 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_rows(read_table(spark, d, "discussions"), "number", "body_text").select("number", "piece_no", "piece")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_rows(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "benchmark"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where(F.col("run") >= leaks.RUN).select("doc_id", "item_id")
+
+
+def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
