@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, lookalike, markup, nearcopies, splitting, tokens
+from . import leaks, lookalike, markup, nearcopies, pii, splitting, tokens
 from .common import read_table
 
 
@@ -19,6 +19,14 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_rows(read_table(spark, d, "discussions"), "number", "body").select("number", "clean").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items_found(read_table(spark, d, "discussions"), "number", "body")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_rows(read_table(spark, d, "discussions"), "number", "body").select("number", "clean").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.near_pairs(read_table(spark, d, "discussions"), "number", "title", "body_text", 0.6)
 
