@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, lookalike, markup, nearcopies, pii, splitting, tokens
+from . import defects, leaks, lookalike, markup, nearcopies, pii, splitting, tokens
 from .common import read_table
 
 
@@ -27,6 +27,10 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact_rows(read_table(spark, d, "discussions"), "number", "body").select("number", "clean").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.broken_pairs(read_table(spark, d, "discussions"), "number", read_table(spark, d, "documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.near_pairs(read_table(spark, d, "discussions"), "number", "title", "body_text", 0.6)
 
