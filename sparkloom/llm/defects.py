@@ -338,10 +338,10 @@ def judge(copies: list[Text], response: Text, speaks: Text, ends: np.ndarray, to
         i, j = int(np.argmax(a)), int(np.argmax(b))
         if i != j and a[i] - a[j] >= MARGIN / 2 and b[j] - b[i] >= MARGIN:
             return "other_language"
-    text = MOOD.sub("", text)
-    if text and text[-1] not in STOPS and not is_field(text) and end_likelihood(text, tokens, ends) < LEAST_END:
-        return "truncated"
-    return None
+    bare = MOOD.sub("", text)
+    if any(t[-1:] in STOPS or is_field(t) or end_likelihood(t, tokens, ends) >= LEAST_END for t in {text, bare}):
+        return None
+    return "truncated"
 
 
 def judged(batches: Iterator[pa.RecordBatch], ends: np.ndarray, languages: Languages | None) -> Iterator[pa.RecordBatch]:
