@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, leaks, lookalike, markup, nearcopies, pii, splitting, tokens
+from . import abuse, defects, leaks, lookalike, markup, nearcopies, pii, splitting, tokens
 from .common import read_table
 
 
@@ -72,6 +72,22 @@ def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rate_rows(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "labels"), keep=("source",))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _rated(spark, d).where("passages > 0").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _rated(spark, d).select("doc_id", "score", "passages")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_rated(spark, d), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
