@@ -88,6 +88,10 @@ class Folder:
                 return w
         return m[0]
 
+    def pairs(self, word: str) -> list[str]:
+        every = [word[i : i + 2] for i in range(max(1, len(word) - 1))]
+        return [p for i, p in enumerate(every) if i % 3 == 0 or p in self.known]
+
     def __call__(self, text: str) -> list[str]:
         """The words of a text without names of code, Japanese and Chinese runs as pairs of characters."""
         text = CODE.sub(" ", unified(text)).lower()
@@ -95,8 +99,7 @@ class Folder:
         words = WORD.findall(text)
         if CJK.search(text):
             # a word there is about three characters long, so of unknown pairs every third counts
-            known = self.known
-            words = [p for w in words for p in ([q for i in range(max(1, len(w) - 1)) if (q := w[i : i + 2]) in known or i % 3 == 0] if CJK.match(w) else [w])]
+            words = [p for w in words for p in (self.pairs(w) if CJK.match(w) else [w])]
         return words
 
 
