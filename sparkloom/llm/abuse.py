@@ -49,11 +49,27 @@ LEET = str.maketrans("013457@$!|8", "oieastasiib")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[0-9]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 MIXED = re.compile(r"(?<![\w/.@*-])(?:[^\W\d_]+[0134578@$!*#|]+|[@$*013457]+[^\W\d_])[^\W_@$!*#|]*(?:[0134578@$!*#|]+[^\W\d_]+)*(?![\w/@*])")
-CODE = re.compile(r"\b[A-Z]+[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b\w+_\w+\b|https?://\S+")
+CAMEL = re.compile(r"\b[A-Z]+[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")
+SNAKE = re.compile(r"(?<!\w)[^\W_]+(?:_+[^\W_]+)+(?!\w)")
+LINK = re.compile(r"https?://\S+")
+TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 APART = re.compile(r"(?<![\w-])(?:[^\W\d_][-.·•_ *]{1,2}){3,}[^\W\d_](?![\w-])")
 LONG = re.compile(r"\w*([^\W\d_])\1\1\w*")
 
 
+SPACED = re.compile(r"(?<!\w)[^\W\d_][-.·•_ *]{1,2}[^\W\d_][-.·•_ *]{1,2}[^\W\d_](?!\w)|[*·•]")
+
+
+def plain(text: str) -> str:
+    """Lower case, one form, no names of code and no links."""
+    text = unified(text)
+    if "://" in text:
+        text = LINK.sub(" ", text)
+    if "_" in text:
+        text = SNAKE.sub(" ", text)
+    return CAMEL.sub(" ", text).lower()
+
+
 class Folder:
     """Gives disguised words back if they are known."""
 
@@ -94,8 +110,12 @@ class Folder:
 
     def __call__(self, text: str) -> list[str]:
         """The words of a text without names of code, Japanese and Chinese runs as pairs of characters."""
-        text = CODE.sub(" ", unified(text)).lower()
-        text = LONG.sub(self.long, APART.sub(self.apart, MIXED.sub(self.mixed, text)))
+        text = plain(text)
+        text = MIXED.sub(self.mixed, text)
+        if SPACED.search(text):
+            text = APART.sub(self.apart, text)
+        if any(t in text for t in TRIPLES) or not text.isascii():
+            text = LONG.sub(self.long, text)
         words = WORD.findall(text)
         if CJK.search(text):
             # a word there is about three characters long, so of unknown pairs every third counts
@@ -160,10 +180,12 @@ class Scorer:
         value = np.where(rare, np.minimum(value, 0.5), value)  # met in one bad snippet only
         self.value = np.append(np.clip(value, -CLIP, CLIP) - DRIFT, -DRIFT)  # the last for unknown words
         nb, nf = sum(pairs[True].values()) + 1, sum(pairs[False].values()) + 1
-        self.pair = {}
-        for p, z in pairs[False].items():  # harmless company of a word that is bad elsewhere
-            if z > 1 and -1 not in p:
-                self.pair[p] = float(np.clip(math.log((pairs[True][p] + 0.5) / nb) - math.log((z + 0.5) / nf), -PAIR_CLIP, 0))
+        company = {}
+        for (x, y), z in pairs[False].items():  # harmless company of a word that is bad elsewhere
+            if z > 1 and x >= 0 and y >= 0:
+                company[x * size + y] = float(np.clip(math.log((pairs[True][x, y] + 0.5) / nb) - math.log((z + 0.5) / nf), -PAIR_CLIP, 0))
+        self.pair_codes = np.array([-1, *sorted(company)], np.int64)
+        self.pair_values = np.array([0.0, *(company[c] for c in sorted(company))])
         return self.calibrate(corpus, words)
 
     def calibrate(self, corpus: np.ndarray, words: int) -> Scorer:
@@ -190,10 +212,10 @@ class Scorer:
     def scores(self, words: list[str]) -> np.ndarray:
         i = self.ids(words)
         s = self.value[i].copy()
-        get = self.pair.get
-        for k, p in enumerate(zip(i[:-1].tolist(), i[1:].tolist(), strict=True), 1):
-            if (b := get(p)) is not None:
-                s[k] += b
+        codes = i[:-1] * len(self.vocabulary) + i[1:]
+        at = np.minimum(np.searchsorted(self.pair_codes, codes), len(self.pair_codes) - 1)
+        met = np.flatnonzero(self.pair_codes[at] == codes)
+        s[met + 1] += self.pair_values[at[met]]
         return s
 
     def rating(self, words: list[str], found: list | None = None) -> float:
@@ -211,7 +233,7 @@ def counted(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Re
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                i = scorer.ids(scorer.folder(text))
+                i = scorer.ids(WORD.findall(plain(text)))  # disguised words are too few to matter here
                 words += len(i)
                 total += np.bincount(i[i >= 0], minlength=len(total))
     total[-1] = words
