@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.shared import materialize
 from sparkloom.functions.text import link_targets, resolve_link
 from sparkloom.operators.findings import concept_counts, of_type
 from sparkloom.schema import ENDS, EVIDENCE, TO_CONCEPT, Graph
@@ -46,8 +47,9 @@ def answer_edges(questions: DataFrame, answers: DataFrame, marker: str = "## Acc
 
 def with_ids(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Dense ids in the order of type, source, target, without a single-task window: sorted parts, then an offset for each."""
-    spread = edges.repartitionByRange(parts or edges.sparkSession.conf.get("spark.sql.shuffle.partitions"), "type", "src", "dst").sortWithinPartitions("type", "src", "dst")
-    marked = spread.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)})
+    spread = edges.repartitionByRange(parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "src", "dst").sortWithinPartitions("type", "src", "dst")
+    # written once: a second run could cut the ranges elsewhere
+    marked = materialize(spread.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)}), "edges")
     sizes = marked.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_before", F.sum("n").over(W.orderBy("_part")) - F.col("n")).select("_part", "_before")
     numbered = marked.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_before") + F.col("_at") + 1)
