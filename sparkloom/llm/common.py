@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-MASK64 = (1 << 64) - 1
+from sparkloom.functions.shared import materialize, shared_folder
+
+__all__ = ["materialize", "read_table", "shared_folder", "splitmix", "unit"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{os.path.join(tempfile.gettempdir(), 'sparkloom-checkpoints')}"
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later stages neither recompute it nor need the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer: a bijective mix of 64-bit values."""
     with np.errstate(over="ignore"):

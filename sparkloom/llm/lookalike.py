@@ -12,6 +12,7 @@ Repeated rows of one id with one text count once. Empty tables give empty result
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -63,11 +64,18 @@ def composed() -> list[tuple[str, str]]:
     return sorted(found, key=lambda p: -len(p[0]))
 
 
+@lru_cache(maxsize=1)
+def mapped_letters() -> re.Pattern:
+    return re.compile("[" + re.escape(pairs()[0]) + "]")
+
+
 def unified(text: str) -> str:
     """The same form in Python, for operators that work on words."""
     if text.isascii():
         return text.replace("\r\n", "\n") if "\r" in text else text
-    return unicodedata.normalize("NFC", text.translate(python_table()).replace("\r\n", "\n"))
+    if mapped_letters().search(text):
+        text = text.translate(python_table())
+    return unicodedata.normalize("NFC", text.replace("\r\n", "\n"))
 
 
 def is_ascii(text: Column) -> Column:
