@@ -1,7 +1,7 @@
 """Problem 8: held-out items whose passages occur in a corpus.
 
 1. Seeds: of the five-word runs in every window of ``run`` words of an item, the one
-   rarest in the corpus is a seed (counted over all documents), so no quote of ``run``
+   rarest in the corpus, by a count over all documents, is a seed; so no quote of ``run``
    words is without one.
 2. A document's five-word runs meet the seeds in a sorted table; a hit names the item and
    a diagonal.
@@ -33,13 +33,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 def seeds_of(item: np.ndarray, counts: dict[int, int], run: int = RUN) -> list[int]:
-    """Positions of the rarest gram of every window; of equal counts the leftmost."""
+    """Positions of the rarest gram of every window, of equal ones the leftmost; grams that no document has lead nowhere."""
     grams = runs(item, GRAM)
     if not len(grams):
         return []
-    seen = np.array([counts.get(int(g), 0) for g in grams])
+    seen = np.array([counts.get(int(g), 0) or np.inf for g in grams])
     span = min(run - GRAM + 1, len(grams))
-    return sorted({i + int(np.argmin(seen[i : i + span])) for i in range(len(grams) - span + 1)})
+    return sorted({i + int(np.argmin(w)) for i in range(len(grams) - span + 1) if np.isfinite((w := seen[i : i + span]).min())})
 
 
 def align(item: np.ndarray, text: np.ndarray) -> int:
@@ -142,6 +142,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
             g = runs(w, GRAM)
             for q in seeds_of(w, counts):
                 places[int(g[q])].append((i, q))
+        if not places:
+            continue
         table = np.array(sorted(places), np.uint64)
         model = spark.sparkContext.broadcast((parts, table, [places[int(g)] for g in table]))
         found = docs.select(key, text).mapInArrow(

@@ -93,7 +93,7 @@ def canonical(text: Column) -> Column:
     loose, tight = (F.split(F.lit(" ".join(x)), " ") for x in zip(*composed(), strict=True))
     table = F.map_from_arrays(loose, tight)
     letters = F.regexp_extract_all(flat, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
-    joined = F.array_join(F.transform(letters, lambda x: F.when(F.length(x) > 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    joined = F.array_join(F.transform(letters, lambda x: F.when(F.length(x) > 1, F.coalesce(F.try_element_at(table, x), F.concat(F.try_element_at(table, F.substring(x, 1, 2)), F.substring(x, 3, 99)), x)).otherwise(x)), "")
     return F.when(~is_ascii(flat) & flat.rlike(r"\p{M}"), joined).otherwise(flat)
 
 

@@ -15,7 +15,7 @@ Conversion of one text, in order:
 Each construct met is noted under the kind it is peculiar to; bullets and quotes that
 several kinds share are noted under none.
 
-A null text gives null and no kinds, a blank text itself. Unclosed code reaches to the end,
+A null text gives null and no kinds, a blank text itself. Elements nested more than ``DEEPEST`` deep stand beside each other. Unclosed code reaches to the end,
 unclosed tags to the end of their parent. Repeated rows come out once.
 """
 
@@ -62,7 +62,7 @@ LATEX_WORD = re.compile(r"\\[a-zA-Z]+\*?\{(?P<text>[^{}\n]*)\}")
 LATEX_ITEM = re.compile(r"^([ \t]*)\\item\b[ \t]*(?:\[([^\]\n]*)\])?", re.M)
 LATEX_SIGN = re.compile(r"\\([_&%$#{}])")
 MD_HEAD = re.compile(r"^ {0,3}(?P<marks>#{1,6})[ \t]+(?P<text>[^\s].*?)[ \t]*#*[ \t\r]*$", re.M)
-MD_BOLD = re.compile(r"(?<![*\w\\])(\*\*\*|\*\*)(?=\S)([^*\n]+?)(?<=\S)\1(?!\*)|(?<![_\w\\])__(?=\S)([^_\n]+?)(?<=\S)__(?![_\w])")
+MD_BOLD = re.compile(r"(?<![*\w\\])(\*\*\*|\*\*)(?=\S)([^*\n]+?)(?<=\S)\1(?!\*)|(?<![_\w\\])__(?=\S)([^_\n]*\s[^_\n]*?)(?<=\S)__(?![_\w])")
 MD_EMPH = re.compile(r"(?<![*\w\\])\*(?=[^\s*])([^*\n]*[^\s*])\*(?![*\w])|(?<![_\w\\/.])_(?=[^\s_])([^_\n]*[^\s_])_(?![_\w])")
 MD_STRIKE = re.compile(r"(?<![~\w])~~(?=\S)([^~\n]+?)(?<=\S)~~(?![~\w])")
 MD_LINK = re.compile(r"(?P<image>!?)\[(?P<text>[^\[\]\n]*)\]\((?P<to>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+\"[^\"\n]*\")?\)")
@@ -75,14 +75,16 @@ WIKI_LINK = re.compile(r"\[\[(?P<to>[^\[\]|\n]+)(?:\|(?P<text>[^\[\]\n]*))?\]\]|
 WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*$(?P<rows>.*?)(?:^[ \t]*\|\}|\Z)", re.M | re.S)
 WIKI_ROW = re.compile(r"^[ \t]*\|\|.*\|\|[ \t\r]*$", re.M)
 WIKI_MISC = re.compile(r"<(?P<nowiki>nowiki|ref)\b[^>]*>.*?</(?P=nowiki)>|\{\{[A-Za-z][^{}\n]*\}\}(?!\})|^\[\[(?:Category|File|Image):[^\]]*\]\]", re.S | re.M)
+DEEPEST = 200  # elements nested deeper stand beside each other
 LINES = re.compile(r"[ \t]*\n(?:[ \t]*\n)+")
 
 
 class Node:
-    __slots__ = ("name", "rest", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "rest", "parent", "parts", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, rest: str, parent: Node | None) -> None:
         self.name, self.rest, self.parent, self.parts = name, rest, parent, []
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def parse(text: str) -> Node:
@@ -112,7 +114,7 @@ def parse(text: str) -> Node:
                     up = up.parent
             new = Node(name, m["rest"], node)
             node.parts.append(new)
-            if name not in VOID and not m["rest"].endswith("/"):
+            if name not in VOID and not m["rest"].endswith("/") and node.depth < DEEPEST:
                 node = new
     if last < len(text):
         node.parts.append(text[last:])
@@ -258,7 +260,12 @@ def convert(text: str) -> tuple[str, list[str]]:
     if "#" in text:
         text = put(MD_HEAD, "markdown", r"\g<marks> \g<text>", text)
     if "$" in text or "\\" in text:
-        text = put(LATEX_MATH, "latex", lambda m: f"${next(filter(None, (m[k] for k in 'abcde'))).strip()}$", text)
+
+        def formula(m: re.Match) -> str:
+            codes.append(f"${next(filter(None, (m[k] for k in 'abcde'))).strip()}$")
+            return f"{OPEN}{len(codes) - 1}{CLOSE}"
+
+        text = put(LATEX_MATH, "latex", formula, text)
     if "{|" in text:
 
         def table(m: re.Match) -> str:
