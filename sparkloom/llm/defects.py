@@ -285,7 +285,7 @@ def is_refusal(text: str) -> bool:
     refused = False
     for p in parts:
         m = REFUSAL.search(p)
-        goes_on = m and re.search(r"(?i)[,;] (?:but|however|yet)\b", p[m.end() :])
+        goes_on = m and re.search(r"(?i)[,;] (?:but|however|yet)\b", p[m.start() :])
         if (m and (m[0].lower().startswith("no comment") or REFUSED.search(p)) and not goes_on) or REFUSED_ELSEWHERE.search(p):
             refused = True
         else:
