@@ -93,4 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": "SELECT DISTINCT number FROM discussions WHERE length(body_text) > 4000"}
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+    gram = f"unnest(list_transform(range(1, len(w) - {leaks.RUN} + 2), lambda i: array_to_string(w[i:i + {leaks.RUN - 1}], ' ')))"
+    return {
+        "p6_found": "SELECT DISTINCT number FROM discussions WHERE length(body_text) > 4000",
+        "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, {gram} AS g FROM (SELECT item_id, {words} AS w FROM benchmark)), d AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, {words} AS w FROM documents))
+            SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON i.g = d.g""",
+    }
