@@ -9,7 +9,7 @@
    scale is the root of ``sum p(s) exp(lambda s) = 1`` over the score counts of the corpus and
    whose place comes from the snippets judged harmless. Scores become the negative log of the
    chance of such a segment, comparable between short and long documents; the threshold lies
-   in the gap between harmless and bad snippets.
+   in the gap between harmless and bad snippets, but never where chance has more than 1.5 %.
 
 Disguised words (digits and signs for letters, letters set apart, stretched or masked,
 invisible characters, look-alikes) are folded if they give a word of the vocabulary's bad side.
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from .lookalike import unified
 
-MOST_LABELS, PRIOR, CORPUS, SEED_COUNT, CLIP, DRIFT, PAIR_CLIP = 20_000, 100.0, 20_000.0, 6.0, 4.0, 0.6, 3.0
+MOST_LABELS, PRIOR, CORPUS, SEED_COUNT, CLIP, DRIFT, PAIR_CLIP, LEAST_CUT = 20_000, 100.0, 20_000.0, 6.0, 4.0, 0.6, 3.0, 4.2
 BAD = ("abusive", "hateful", "sexual")
 
 # Words of abuse, hate and explicit sexual talk, by language; Japanese as pairs of characters.
 SEEDS = {
-    "en": "idiot moron imbecile halfwit dimwit loser scumbag bastard bitch asshole fuck fucking cunt whore slut retard pathetic worthless filthy vermin subhuman scum parasite clown cretin jerk dumbass nudes porn horny naked blowjob dick pussy cock orgasm masturbate hate despise liars ashamed ass beat licked moaned undressed bare strangle stab rape exterminate inferior rid gone miss",
+    "en": "idiot moron imbecile halfwit dimwit loser scumbag bastard bitch asshole fuck fucking cunt whore slut retard pathetic worthless filthy vermin subhuman scum parasite clown cretin jerk dumbass nudes porn horny naked blowjob dick pussy cock orgasm masturbate hate despise liars ashamed ass beat licked moaned undressed bare strangle stab rape exterminate inferior rid gone miss lose kiss",
     "de": "vollidiot idiot trottel dummkopf arschloch fresse verpiss wichser hurensohn schlampe versager erbärmlicher missgeburt abschaum ungeziefer untermenschen rausgeworfen verrecke krepier nacktbilder geil titten ficken muschi schwanz porno dummer",
     "es": "idiota imbécil estúpido inútil gilipollas cabrón puta mierda basura escoria ratas infierno cállate muérete pendejo maricón desnuda desnudas desnudo caliente cachonda follar tetas porno polla sobran vete pedazo",
     "fr": "idiot crétin imbécile connard connasse salope pute merde ordure gueule ferme abruti débile minable vermine parasites dégage crève raclure nue nues excité excitée bander baiser seins porno bite pauvre",
@@ -45,6 +45,8 @@ SEEDS = {
     "ru": "идиот дурак дебил тупой тупая заткнись сдохни мразь сволочь ублюдок урод шлюха сука отбросы паразиты твари убирайтесь голую голые голая возбужден возбуждён порно трахать сиськи черту проваливай ничтожество жалкий мусор понаехали приезжие гнать вон",
     "ja": "馬鹿 バカ アホ 死ね クズ 消え えろ 黙れ ゴミ 害虫 出て 追い 殺す 殺し 裸の 全裸 興奮 エロ ヌー セッ 無能 くた ばれ",
 }
+# English function words, which say little by themselves.
+FUNCTION = frozenset("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her him his how i if in into is it its just many me more most my no nor not of off on once only or other others our out over she should so some such than that the their them then there these they this those though to too under until up very was we were what when where whether which while who whom whose why will with would you your".split())
 LEET = str.maketrans("013457@$!|8", "oieastasiib")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[0-9]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
@@ -75,8 +77,12 @@ class Folder:
 
     def __init__(self, known: set[str]) -> None:
         self.known, self.sizes = known, {}
-        for w in known:
+        seeds = " ".join(SEEDS.values()).split()
+        for w in sorted(known, key=lambda w: (w not in seeds, w)):
             self.sizes.setdefault(len(w), []).append(w)
+        # a word with one letter doubled
+        doubled = {w[: i + 1] + w[i:]: w for w in known if len(w) > 3 and w.isascii() for i in range(len(w))}
+        self.doubled = {k: w for k, w in doubled.items() if k not in known}
 
     def mixed(self, m: re.Match) -> str:
         word = m[0]
@@ -84,10 +90,12 @@ class Folder:
             if w in self.known:
                 return w
         if "*" in word or "#" in word:
-            mask = re.compile("".join("." if c in "*#" else re.escape(c.translate(LEET)) for c in word))
-            for w in self.sizes.get(len(word), ()):
-                if mask.fullmatch(w):
-                    return w
+            parts = re.findall(r"[*#]+|[^*#]+", word)
+            mask = re.compile("".join(f".{{1,{max(len(p), 2)}}}" if p[0] in "*#" else re.escape(p.translate(LEET)) for p in parts))
+            for size in range(len(word) + 1, 2, -1):
+                for w in self.sizes.get(size, ()):
+                    if mask.fullmatch(w):
+                        return w
         return word
 
     def apart(self, m: re.Match) -> str:
@@ -116,7 +124,8 @@ class Folder:
             text = APART.sub(self.apart, text)
         if any(t in text for t in TRIPLES) or not text.isascii():
             text = LONG.sub(self.long, text)
-        words = WORD.findall(text)
+        get = self.doubled.get
+        words = [get(w, w) for w in WORD.findall(text)]
         if CJK.search(text):
             # a word there is about three characters long, so of unknown pairs every third counts
             words = [p for w in words for p in (self.pairs(w) if CJK.match(w) else [w])]
@@ -178,6 +187,7 @@ class Scorer:
         value = odds(bad, PRIOR * share) - odds(fine, PRIOR * share)
         rare = np.array([n < 2 and w not in self.seeds for w, n in zip(self.vocabulary, met[True], strict=True)])
         value = np.where(rare, np.minimum(value, 0.5), value)  # met in one bad snippet only
+        value = np.where([w in FUNCTION for w in self.vocabulary], np.minimum(value, 1.0), value)
         self.value = np.append(np.clip(value, -CLIP, CLIP) - DRIFT, -DRIFT)  # the last for unknown words
         nb, nf = sum(pairs[True].values()) + 1, sum(pairs[False].values()) + 1
         company = {}
@@ -206,7 +216,7 @@ class Scorer:
         errors = [(fine >= c).sum() + (bad < c).sum() for c in cuts]
         best = np.flatnonzero(errors == np.min(errors))
         low = cuts[best[0] - 1] if best[0] else cuts[best[0]] - 1
-        self.cut = float(low + (cuts[best[-1]] - low) / 5)
+        self.cut = max(LEAST_CUT, float(low + (cuts[best[-1]] - low) / 5))
         return self
 
     def scores(self, words: list[str]) -> np.ndarray:
