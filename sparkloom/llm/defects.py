@@ -47,6 +47,7 @@ FILLER_WORDS = 14
 
 TOKEN = re.compile(r"[^\W\d]\w*|\+?\d[\d ()/.-]{5,}\d|\d+(?:\.\d+)*|[^\w\s]|\n")
 DATA_TOKEN = re.compile(r"\w+://\S+|[\w.+-]+@[\w.-]*\w|" + TOKEN.pattern)
+LETTER = re.compile(r"\s[a-wyzа-я]$")
 MOOD = re.compile(r"\s+(?:[:;]-?[()DP]|;)$")
 LABEL = re.compile(r"(?:^|[.!?][ ]+)[ >*+\t-]*[A-Za-z]+(?: [a-z]+)? ?[:=] ?(?=\S)")
 DATUM = re.compile(r"""["'(\[]*(?:[A-Z0-9+#@(]|at\b|dot\b|rue\b|bis\b)|.*[@\d]""")
@@ -166,6 +167,8 @@ def end_likelihood(text: str, tokens: Tokens, table: np.ndarray) -> float:
     Names and numbers are mostly new, so where the last word is capitalised or no word, the
     contexts by shape count if they are surer of an end.
     """
+    if LETTER.search(text):
+        return 0.0  # a word cut after its first letter
     ids = tokens(text[-400:])[-4:]  # the tokens that count
     if not ids:
         return 1.0
