@@ -8,7 +8,7 @@
   in a table of fixed size, summed by hash bucket, so it does not grow with the corpus.
   Ends of whole texts count from their fourth time, so no text vouches for its own copies.
 * ``copied``: at most ``SPARE`` words lie outside the longest run the response shares with
-  the prompt's title or text.
+  the prompt's title or text, or every line is such a run.
 * ``refusal`` and ``empty`` by their wording; a reply that goes on to answer is sound.
 
 Null and blank responses are ``empty``; a null title or text is an empty prompt, which has
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .lookalike import unified
 
 LANGUAGE_ROWS, BUCKETS, NGRAM_BUCKETS, WORDS_KEPT = 4000, 1 << 22, 1 << 16, 200_000
-LEAST_END, PRIOR, SPARE, MARGIN = 0.04, 4.0, 2, 6.0
+LEAST_END, PRIOR, SPARE, MARGIN, REPEATS = 0.04, 4.0, 2, 6.0, 3
 
 # Stand-ins for text, and wordings of refusals and of what may follow them.
 STAND_INS = frozenset("n a|na|none|no response|no text|empty|null|nil|nothing|no answer|no content|no description|no comment|tbd|todo|deleted|removed|blank|no reply|not provided|no description provided|keine antwort|sin respuesta|sans réponse|sem resposta|нет ответа|なし".split("|"))
@@ -55,6 +55,7 @@ CLOSING = re.compile(r"(?:[Cc]c|[Rr]egards|[Tt]hanks(?: in advance)?|[Cc]heers|[
 WORD = re.compile(r"\w+")
 CAMEL = re.compile(r"[A-Z]+[a-z0-9]+\w*[A-Z]\w*|[a-z]+[A-Z]\w*")
 LETTERS = re.compile(r"(?<![\w/.@_-])[^\W\d_]+(?![\w/@_-])")
+KANA = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+")
 STOPS = frozenset(".!?…。！？")
 
 
@@ -215,7 +216,11 @@ class Languages:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        return [w.lower() for w in LETTERS.findall(text) if w.islower() or not CAMEL.fullmatch(w)]
+        found = [w.lower() for w in LETTERS.findall(text) if w.islower() or not CAMEL.fullmatch(w)]
+        if KANA.search(text):  # no blanks between words there, so runs count by pairs of characters, and each pair for the script
+            runs = KANA.findall(text)
+            found = [w for w in found if not KANA.search(w)] + [w for r in runs for i in range(0, len(r), 2) for w in (r[i : i + 2], "ー")]
+        return found
 
     @staticmethod
     def grams(word: str) -> np.ndarray:
@@ -231,13 +236,16 @@ class Languages:
         return i
 
     def scores(self, text: str) -> np.ndarray:
-        """The log likelihood of each language, a word's n-grams counting as one observation each four."""
+        """The log likelihood of each language; four n-grams count as one observation, a word at most ``REPEATS`` times."""
         known = self.known
         if len(known) > WORDS_KEPT:
             self.clear()
             known = self.known
         ids = [known[w] if w in known else self.add(w) for w in self.words(text)]
-        return self.rows[ids].sum(axis=0) if ids else np.zeros(len(self.names), np.float32)
+        if not ids:
+            return np.zeros(len(self.names), np.float32)
+        which, times = np.unique(ids, return_counts=True)
+        return np.minimum(times, REPEATS) @ self.rows[which]
 
 
 def is_field(text: str) -> bool:
@@ -334,9 +342,12 @@ def judge(copies: list[Text], response: Text, speaks: Text, ends: np.ndarray, to
     for c in copies:
         if len(said) >= 3 and len(c.words) >= len(said) - SPARE and len(said) - shared_run(said, c.chain) <= min(SPARE, len(said) // 3):
             return "copied"
+    lines = [WORD.findall(x) for x in text.casefold().split("\n")]
+    if len(said) >= 3 and any(len(x) >= 3 for x in lines) and all(any(shared_run(x, c.chain) == len(x) for c in copies) for x in lines if x):
+        return "copied"  # put together from whole stretches, or the title again and again
     if len(text) < 800 and is_refusal(text):
         return "refusal"
-    if languages is not None and speaks.flat:
+    if languages is not None and not is_empty(speaks.raw):
         a, b = speaks.scores(languages), response.scores(languages)
         i, j = int(np.argmax(a)), int(np.argmax(b))
         if i != j and a[i] - a[j] >= MARGIN / 2 and b[j] - b[i] >= MARGIN:
@@ -367,11 +378,21 @@ def judged(batches: Iterator[pa.RecordBatch], ends: np.ndarray, languages: Langu
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pairs, pa.string()), pa.array(defects, pa.string())], ["key", "pair", "defect"])
 
 
+def relabelled(texts: list[str], labels: list[str], times: int = 2) -> Languages | None:
+    """A model of the given labels, then of its own: labels that the texts speak against lose their say."""
+    model = Languages(texts, labels)
+    for _ in range(times):
+        if len(model.names) < 2:
+            return None
+        model = Languages(texts, [model.names[int(np.argmax(model.scores(t)))] for t in texts])
+    return model if len(model.names) > 1 else None
+
+
 def fit_languages(labelled: DataFrame, text: str, label: str, most: int = LANGUAGE_ROWS) -> Languages | None:
     rows = labelled.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(text).alias("t"), F.lower(F.trim(label)).alias("l"))
     held = rows.orderBy(F.xxhash64("t"), "l").limit(most).toPandas()
-    model = Languages([unified(t) for t in held["t"]], list(held["l"]))
-    return model if len(model.names) > 1 else None
+    texts = [unified(t) for t in held["t"]]
+    return relabelled(texts, list(held["l"]))
 
 
 def broken_pairs(threads: DataFrame, key: str, labelled: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
