@@ -6,7 +6,9 @@
 * ``truncated``: the likelihood that a text ends after its last words, from counts over all
   texts of how often each run of up to four words ends a line or sentence. Counts are kept
   in a table of fixed size, summed by hash bucket, so it does not grow with the corpus.
-  Ends of whole texts count from their fourth time, so no text vouches for its own copies.
+  A text's own end counts once for all its copies: equal texts are one, and near copies
+  with one last word, met by ``BANDS`` bands of least hashes, share one count. Ends of
+  whole texts count from their fourth class, so no text vouches for its own copies.
 * ``copied``: at most ``SPARE`` words lie outside the longest run the response shares with
   the prompt's title or text, or every line is such a run.
 * ``refusal`` and ``empty`` by their wording; a reply that goes on to answer is sound.
@@ -28,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, splitmix
 from .lookalike import unified
 
 LANGUAGE_ROWS, BUCKETS, NGRAM_BUCKETS, WORDS_KEPT = 4000, 1 << 22, 1 << 16, 200_000
 LEAST_END, PRIOR, SPARE, MARGIN, REPEATS = 0.04, 4.0, 2, 6.0, 3
+BANDS, BAND_ROWS, OWN = 16, 4, 3
 
 # Stand-ins for text, and wordings of refusals and of what may follow them.
 STAND_INS = frozenset("n a|na|none|no response|no text|empty|null|nil|nothing|no answer|no content|no description|no comment|tbd|todo|deleted|removed|blank|no reply|not provided|no description provided|keine antwort|sin respuesta|sans réponse|sem resposta|нет ответа|なし".split("|"))
@@ -128,8 +132,8 @@ def contexts(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse counts of each bucket: how often met, how often before an end inside a text, how often at a text's end."""
-    tokens, counts = Tokens(), np.zeros((3, BUCKETS), np.int32)
+    """Sparse counts of each bucket: how often met before the text's end, how often before an end inside a text."""
+    tokens, counts = Tokens(), np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         texts = [unified(t).strip() for column in batch.columns for t in column.to_pylist() if t]
         for lo in range(0, len(texts), 2000):
@@ -143,22 +147,65 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = np.array([*ids, 0], np.int64)
             found = contexts(tokens.table, flat[:-1])
             kind = tokens.table[2, flat]
-            real, after = (kind[3:-1] < 2), kind[4:]
-            for row, chosen in zip(counts, (real, real & ((after == 1) | (after == 2)), real & (after == 3)), strict=True):
+            after = kind[4:]
+            real = (kind[3:-1] < 2) & (after != 3)
+            for row, chosen in zip(counts, (real, real & ((after == 1) | (after == 2))), strict=True):
                 row += np.bincount(found[:, chosen].ravel(), minlength=BUCKETS).astype(np.int32)
     some = np.flatnonzero(counts[0])
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c[some]) for c in counts)], ["bucket", "n", "inside", "last"])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c[some]) for c in counts)], ["bucket", "n", "inside"])
+
+
+def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text that does not end with a stop: its hash, bands of least hashes of its runs of three tokens with its last token, and the buckets of its end."""
+    tokens = Tokens()
+    odd = splitmix(np.arange(BANDS * BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
+    a, b, c, d = FACTORS[:4]
+    for batch in batches:
+        names, bands, ends = [], [], []
+        for text in {unified(t).strip() for column in batch.columns for t in column.to_pylist() if t}:
+            if not text or text[-1] in STOPS and "://" not in text.rsplit(None, 1)[-1]:
+                continue
+            if len(tokens.known) > WORDS_KEPT:
+                tokens.clear()
+            ids = tokens(text)
+            if not ids:
+                continue
+            at = contexts(tokens.table, np.array([0, 0, 0, *ids][-4:], np.int64))[:, 0]
+            word = tokens.table[0, [0, 0, *ids]]
+            with np.errstate(over="ignore"):
+                run = np.unique(splitmix(word[2:] * a + word[1:-1] * b + word[:-2] * c))
+                least = splitmix((run[:, None] * odd).min(axis=0)).reshape(BANDS, BAND_ROWS)
+                key = splitmix((least * FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + word[-1] * d + np.arange(BANDS, dtype=np.uint64))
+            names.append(xxhash.xxh3_64_intdigest(text))
+            bands.append(key.view(np.int64))
+            ends.append(at)
+        sizes = lambda width: pa.array(np.arange(len(names) + 1, dtype=np.int32) * width)
+        flat = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(names, np.uint64).view(np.int64)), pa.ListArray.from_arrays(sizes(BANDS), flat(bands, np.int64)), pa.ListArray.from_arrays(sizes(8), flat(ends, np.int32))], ["id", "bands", "buckets"]
+        )
+
+
+def last_counts(rows: DataFrame, columns: list) -> DataFrame:
+    """``bucket, last``: how often each context ends a text, each class of copies counted once."""
+    made = rows.select(*columns).mapInArrow(tails, "id bigint, bands array<bigint>, buckets array<int>")
+    held = materialize(made.groupBy("id").agg(F.first("bands").alias("bands"), F.first("buckets").alias("buckets")), "tails")
+    each = held.select("id", F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    size = each.join(shared, "band").groupBy("id").agg(F.max("size").alias("size"))
+    share = held.select("id", "buckets").join(size, "id", "left").select(F.explode("buckets").alias("bucket"), (1 / F.coalesce("size", F.lit(1))).alias("share"))
+    return share.groupBy("bucket").agg(F.sum("share").alias("last"))
 
 
 def end_table(rows: DataFrame, columns: list) -> np.ndarray:
     """``2 x BUCKETS``: how often each context is met and how often it is an end."""
-    made = rows.select(*columns).mapInArrow(counted, "bucket int, n int, inside int, last int")
-    total = made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "inside", "last")]).toArrow()
+    made = rows.select(*columns).mapInArrow(counted, "bucket int, n int, inside int")
+    total = made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "inside")]).toArrow()
     table = np.zeros((2, BUCKETS), np.float32)
     at = total["bucket"].to_numpy()
-    last = total["last"].to_numpy()
-    table[0, at] = np.maximum(total["n"].to_numpy() - np.minimum(last, 3), 0)
-    table[1, at] = total["inside"].to_numpy() + np.maximum(last - 3, 0)
+    table[0, at], table[1, at] = total["n"].to_numpy(), total["inside"].to_numpy()
+    last = last_counts(rows, columns).where(F.col("last") > OWN).toArrow()
+    table[:, last["bucket"].to_numpy()] += np.maximum(last["last"].to_numpy() - OWN, 0).astype(np.float32)
     return table
 
 

@@ -77,3 +77,22 @@ def test_held_out_languages(tables):
     assert model.names == ["de", "en", "es"]
     for lang in WORDS:
         assert model.names[int(model.scores(sentence(rnd, lang)).argmax())] == lang
+
+
+def test_copies_do_not_vouch_for_their_cut(spark, tables):
+    rnd = random.Random(14)
+    made = tables[0].select("number", "title", "body_text", "answered", F.col("answer.body_text").alias("reply")).collect()
+    rows = [tuple(r) for r in made]
+    cut = body(rnd, "en", 9) + " The queue grows until the wor"
+    words = cut.split()
+    for i in range(30):  # ten rows of one text, then copies with a word changed
+        w = list(words)
+        if i >= 10:
+            w[rnd.randrange(len(w) - 6)] = f"new{i}"
+        rows.append((400 + i, "Why is it slow?", " ".join(w), False, None))
+    for i in range(30):  # one closing formula under texts of their own
+        rows.append((500 + i, "Why is it slow?", body(rnd, "en", 4) + " many greetings to everybody", False, None))
+    frame = spark.createDataFrame(rows, "number bigint, title string, body_text string, answered boolean, reply string")
+    frame = frame.withColumn("answer", F.struct(F.lit("x").alias("body"), F.col("reply").alias("body_text"))).drop("reply")
+    got = {r.number: r.defect for r in d.broken_pairs(frame, "number", tables[1]).collect() if r.number >= 400}
+    assert got == {400 + i: "truncated" for i in range(30)}
