@@ -1,8 +1,9 @@
 """Problem 6: oversized texts as overlapping pieces cut at natural boundaries.
 
 One regular expression does the cutting. Its alternatives are bounded runs that end
-at a boundary, the strongest boundary first, each at least half a piece long; the
-last alternatives take a long word or plain characters. ``regexp_extract_all``
+at a boundary, the strongest boundary first, each at least half a piece long; then
+come shorter runs with the same boundaries, then marks within an unbroken run, and
+only where a piece holds none of them does the last alternative take plain characters. ``regexp_extract_all``
 yields the fresh part of every piece; the running sum of their lengths gives each
 piece's start, and looking back ``overlap`` characters from there gives the overlap.
 Every step is a built-in expression on one row, so nothing is shuffled but the
@@ -20,18 +21,22 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 4000, 200
 #: Boundaries from strong to weak, as what ends a fresh part: blank lines, line ends, sentence ends, clause ends, blanks.
 BOUNDARIES = (r"\n[ \t]*\n", r"\n", r"[.!?。！？][\"')\]]*(?:[ \t]|(?<=[。！？]))", r"[,;:、，；：](?:[ \t]|(?<=[、，；：]))", r"\s")
+#: Boundaries within an unbroken run: after a comma or semicolon, after any other mark.
+MARKS = (r"[,;、，；]", r"\p{P}")
 
 
 def pattern(limit: int, overlap: int) -> str:
     """Fresh parts: at most ``limit`` characters in the first piece, ``limit - overlap`` in each later one."""
 
-    def run(start: str, most: int) -> list[str]:
+    def run(start: str, most: int, short: int) -> list[str]:
         # The boundary itself counts, so the run before it is shorter by the most it can take.
         least, room = most // 2, 8
-        cut = [rf"{start}.{{{least},{most - room}}}(?:{b})(?<!\r(?=\n))" for b in BOUNDARIES]
+        spans = [(lo, hi) for lo, hi in ((least, most - room), (short, least - 1)) if lo <= hi]
+        cut = [rf"{start}.{{{lo},{hi}}}(?:{b})(?<!\r(?=\n))" for kinds in (BOUNDARIES, MARKS) for lo, hi in spans for b in kinds]
         return [rf"{start}.{{1,{most}}}\z", *cut, rf"{start}.{{1,{most}}}"]
 
-    return "(?s)" + "|".join(run(r"\A", limit) + run(r"(?!\A)", limit - overlap))
+    # The first piece holds what the second looks back on.
+    return "(?s)" + "|".join(run(r"\A", limit, max(1, overlap - 1)) + run(r"(?!\A)", limit - overlap, 1))
 
 
 def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:

@@ -41,6 +41,16 @@ def test_strongest_boundary(rows):
     assert cut(rows, [text])[0][0] == "a" * 60 + "\n\n"
 
 
+def test_boundary_in_the_first_half(rows):
+    texts = ["Some words here.\nMore of them\n" + "x" * 300, "Some. More. It is y" + "y" * 95, "one two. " + "A" * 20 + ". " + "w" * 300, "dump " + "60225,14304," * 40, "z" * 70 + "-" + "z" * 200]
+    got = cut(rows, texts)
+    for i, t in enumerate(texts):
+        check(t, got[i])
+    assert got[0][0] == "Some words here.\nMore of them\n" and got[1][0] == "Some. More. " and got[2][0] == texts[2][:31]
+    assert all(p.endswith(",") for p in got[3])
+    assert got[4][0] == "z" * 70 + "-"
+
+
 def test_repeats_and_empty(rows):
     assert len(cut(rows, [])) == 0
     long = "word " * 100
