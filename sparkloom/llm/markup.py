@@ -8,7 +8,8 @@ Conversion of one text, in order:
    a tag adjusted for the share of links around it; the node whose children's densities sum
    highest is the content, and the least density on its path from the body is the threshold.
    Link-dominated nodes outside the content and under the threshold are boilerplate and
-   left out. A posted text is a fragment: nodes with plain text are never left out.
+   left out. A posted text is a fragment: nodes with text outside links, code or formulas
+   are never left out. What is set aside counts with its own length.
 3. Headings, lists, tables, quotes and formulas of every kind come out in one notation:
    ``# heading``, ``- item``, ``| cell |``, ``> quote``, ``$formula$``, fenced code.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,12 +76,13 @@ WIKI_LINK = re.compile(r"\[\[(?P<to>[^\[\]|\n]+)(?:\|(?P<text>[^\[\]\n]*))?\]\]|
 WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*$(?P<rows>.*?)(?:^[ \t]*\|\}|\Z)", re.M | re.S)
 WIKI_ROW = re.compile(r"^[ \t]*\|\|.*\|\|[ \t\r]*$", re.M)
 WIKI_MISC = re.compile(r"<(?P<nowiki>nowiki|ref)\b[^>]*>.*?</(?P=nowiki)>|\{\{[A-Za-z][^{}\n]*\}\}(?!\})|^\[\[(?:Category|File|Image):[^\]]*\]\]", re.S | re.M)
+HELD = re.compile(f"{OPEN}(\\d+){CLOSE}")
 DEEPEST = 200  # elements nested deeper stand beside each other
 LINES = re.compile(r"[ \t]*\n(?:[ \t]*\n)+")
 
 
 class Node:
-    __slots__ = ("name", "rest", "parent", "parts", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "rest", "parent", "parts", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds", "plain")
 
     def __init__(self, name: str, rest: str, parent: Node | None) -> None:
         self.name, self.rest, self.parent, self.parts = name, rest, parent, []
@@ -121,8 +123,8 @@ def parse(text: str) -> Node:
     return root
 
 
-def measure(root: Node) -> None:
-    """Counts of characters, tags, linked characters and links under every node, then the composite densities."""
+def measure(root: Node, codes: Sequence[str] = ()) -> None:
+    """Counts of characters, tags, linked characters and links under every node, what it holds, then the composite densities."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -130,16 +132,22 @@ def measure(root: Node) -> None:
         stack += [p for p in node.parts if isinstance(p, Node)]
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.holds = node.plain = False  # what was set aside; that or text outside links
         for p in node.parts:
             if isinstance(p, Node):
                 node.chars += p.chars
                 node.tags += p.tags + 1
                 node.link_chars += p.link_chars
                 node.link_tags += p.link_tags + (p.name == "a")
+                node.holds |= p.holds
+                node.plain |= p.plain
             else:
-                node.chars += len(p.strip())
+                aside = HELD.findall(p)
+                node.chars += len(p.strip()) + sum(len(codes[int(n)]) - len(n) - 2 for n in aside)
+                node.holds |= bool(aside)
+                node.plain |= bool(re.search(r"\w", html.unescape(p)))
         if node.name == "a":
-            node.link_chars = node.chars
+            node.link_chars, node.plain = node.chars, node.holds
     share = root.link_chars / max(root.chars, 1)
     for node in reversed(order):
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
@@ -148,9 +156,9 @@ def measure(root: Node) -> None:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node)) or node.density
 
 
-def content(root: Node) -> tuple[Node, float]:
+def content(root: Node, codes: Sequence[str] = ()) -> tuple[Node, float]:
     """The node with the highest density sum, and the least density on its path from the body."""
-    measure(root)
+    measure(root, codes)
     best, stack = root, [root]
     while stack:
         node = stack.pop()
@@ -163,12 +171,12 @@ def content(root: Node) -> tuple[Node, float]:
     return best, threshold
 
 
-def rendered(root: Node) -> str:
-    best, threshold = content(root)
+def rendered(root: Node, codes: Sequence[str] = ()) -> str:
+    best, threshold = content(root, codes)
     out: list[str] = []
 
     def boilerplate(node: Node) -> bool:
-        return node.name in ("nav", "div", "ul", "section", "aside", "footer", "header") and node.density < threshold and node.link_chars * 2 > node.chars
+        return not node.plain and node.name in ("nav", "div", "ul", "section", "aside", "footer", "header") and node.density < threshold and node.link_chars * 2 > node.chars
 
     def walk(node: Node, lead: str, within: bool) -> None:
         number = 0
@@ -275,7 +283,7 @@ def convert(text: str) -> tuple[str, list[str]]:
         text = put(WIKI_TABLE, "wiki", table, text)
     if "<" in text and TAG.search(text):
         met.add("html")
-        text = rendered(parse(text))
+        text = rendered(parse(text), codes)
     if "&" in text:
         text = put(ENTITY, "html", lambda m: html.unescape(m[0]), text)
     if "=" in text:
@@ -313,7 +321,7 @@ def convert(text: str) -> tuple[str, list[str]]:
     if "*" in text or "_" in text:
         text = put(MD_EMPH, "markdown", lambda m: m[1] or m[2], text)
     for _ in range(2):  # code inside a mark that was itself set aside
-        text = re.sub(f"{OPEN}(\\d+){CLOSE}", lambda m: codes[int(m[1])], text)
+        text = HELD.sub(lambda m: codes[int(m[1])], text)
     return LINES.sub("\n\n", text).strip(), [k for k in KINDS if k in met]
 
 

@@ -44,6 +44,22 @@ def test_density_selects_the_content():
     assert best.name in ("div", "body") and threshold > 0
 
 
+def test_code_formulas_and_remarks_are_content():
+    para = "<p>" + "A long paragraph of real text without links. " * 30 + "</p>"
+    code = "".join(f"call_{i}(x)\n" for i in range(300))
+    link = "<a href='/y'>the whole source code</a>"
+    held = {
+        f"<div>{link}<pre>{code}</pre></div>": "call_299(x)",
+        f"<div>{link} $x_1$</div>": "$x_1$",
+        "<div><a href='/y'>see the docs of <code>run_all</code></a></div>": "run_all",
+        "<ul>" + "".join(f"<li><a href='/{i}'>the entry with number {i}</a> is fine</li>" for i in range(20)) + "</ul>": "is fine",
+    }
+    for block, part in held.items():
+        assert part in m.convert(f"<div>{para}{para}</div>{block}")[0]
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>menu entry {i}</a>&nbsp;|</li>" for i in range(30)) + "</ul>"
+    assert "menu entry" not in m.convert(f"<div>{para}{para}</div>{menu}")[0]
+
+
 def test_rows(rows):
     data = [(1, None, "<b>x</b>"), (1, None, "<b>x</b>"), (2, None, None), (3, None, " "), (4, None, "<i>" * 3000 + "deep"), (5, None, "`" * 5000 + "*" * 5000 + "[" * 2000), (6, None, "<p>y</p>" * 20_000)]
     r = rows(data, text="body")
