@@ -56,7 +56,8 @@ STARTERS = frozenset(
 NAME = r"(?:[A-ZÀ-ÖØ-Þ]['’])?(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-ÖØ-Þ]+)*)(?![\w])"
 GAP = r"[ \t]+"
 FULL = re.compile(rf"(?<![\w@.\\/-]){NAME}(?:(?:,?{GAP})(?:[A-Z]\.(?:[A-Z]\.)*{GAP})?{NAME}|{GAP}[A-Z]\.(?={GAP}?[,\n]|$)){{1,4}}(?:[ \t]+[A-Z]\.(?!\w))?")
-SINGLE = re.compile(rf"(?:(?i:regards|thanks in advance|thanks|cheers|best|best wishes|sincerely|yours|greetings|thx|cc|saludos|gr[üu]ße|cordialement|merci|gracias|obrigad[oa])[,!.:]*\s{{1,4}}[>* \t-]*|^[> \t]*(?:--|[–—])[ ]?)(?P<name>{NAME})(?=[ \t]*(?:[\r\n<\\.]|$|[ ]))", re.M)
+CLOSINGS = "regards|thanks in advance|thanks|cheers|best|best wishes|sincerely|yours|greetings|thx|cc|saludos|grüße|gruße|cordialement|merci|gracias|obrigado|obrigada"
+SINGLE = re.compile(rf"(?:(?i:{CLOSINGS})[,!.:]*\s{{1,4}}[>* \t-]*|^[> \t]*(?:--|[–—])[ ]?)(?P<name>{NAME})(?=[ \t]*(?:[\r\n<\\.]|$|[ ]))", re.M)
 WORD = re.compile(r"\w[\w'’-]*")
 LOCAL = r"(?<![\w.+/:@-])[A-Za-z0-9](?:[A-Za-z0-9_+%-]|\\_|\.(?=[A-Za-z0-9]))*"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -65,7 +66,9 @@ EMAIL = re.compile(
     rf"{LOCAL}(?:@|[ ]?[(\[{{<][ ]?(?i:at|@)[ ]?[)\]}}>][ ]?){LABEL}(?:(?:\.|{DOT}){LABEL})+(?![\w@])"
     rf"|{LOCAL}[ ](?:AT|at|@)[ ]{LABEL}(?:(?:{DOT}){LABEL})+(?![\w@])"
 )
-SIGNED = re.compile(r"egards|hanks|heers|est,|est wishes|incerely|ours|reetings|hx|cc |aludos|ordialement|erci|racias|brigad|r[üu]ße|EGARDS|HANKS|--|[–—]")
+# What every match of EMAIL or SINGLE holds, looked for first as it costs less.
+AT = re.compile(rf"@|[(\[{{<][ ]?(?i:at)[ ]?[)\]}}>]|[ ](?:AT|at)[ ]{LABEL}(?:{DOT})")
+SIGNED = ("--", "–", "—", *(w.casefold() for w in CLOSINGS.split("|")))
 DIGITS = re.compile(r"(?<![\w.@/\\#-])(?:\+|\(\+?)?\d(?:[ \t().‑/-]{0,2}\d){5,16}(?:,?[ ]?(?:ext\.?|extension|x|Durchwahl)[ ]?\d{1,5})?(?![\w@])")
 IDENT = re.compile(r"(?<![\w.@/\\#-])(?=[A-Z0-9 .-]{0,6}\d)(?:[A-Z]{1,3}[- ]?)?\d(?:[-. /]?[0-9]){4,13}(?:[- ]?[A-Z]{1,2})?(?![\w@])")
 PLACE = rf"[A-ZÀ-Þ][\w'’-]*(?:[ ][A-ZÀ-Þ][\w'’-]*){{0,2}}"
@@ -85,7 +88,7 @@ FOREIGN = re.compile(r"\b(?:Calle|Avenida|Av\.|Plaza|Paseo|Via|Rua|[Rr]ue|Piazza
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """``type, start, end`` of every proposed span."""
     found: list[tuple[int, int, int]] = []
-    if "@" in text or "dot" in text or " DOT " in text or "at)" in text or "at]" in text:
+    if AT.search(text):
         found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
     for m in DIGITS.finditer(text):
         if 7 <= sum(c.isdigit() for c in m[0]) <= 17:
@@ -105,7 +108,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 for a, b in {(0, len(part)), (max(0, len(part) - 2), len(part)), (0, 2)}:
                     found.append((4, part[a].start(), part[b - 1].end()))
             part = []
-    for m in SINGLE.finditer(text) if SIGNED.search(text) else ():
+    folded = text.casefold()
+    for m in SINGLE.finditer(text) if any(w in folded for w in SIGNED) else ():
         if m["name"].lower() not in STARTERS:
             found.append((4, m.start("name"), m.end("name")))
     return found

@@ -29,6 +29,16 @@ def test_sound(finder, text):
     assert finder.items([text]) == [[]]
 
 
+@pytest.mark.parametrize("item", ["joe (AT) host.org", "joe {at} host.org", "joe <at> host.org", "joe ( at ) host.org", "joe[At]host.org", "joe AT host DOT org", "joe at host dot org", "joe@host.org"])
+def test_written_addresses_are_proposed(item):
+    assert (0, 9, 9 + len(item)) in p.candidates(f"write to {item} today")
+
+
+@pytest.mark.parametrize("text", ["Best\nMira", "CHEERS, Mira", "cc: Mira", "CC Mira", "Cc\tMira", "BEST WISHES,\nMira", "SINCERELY\nMira", "Obrigado,\nMira", "— Mira"])
+def test_signatures_are_proposed(text):
+    assert (4, len(text) - 4, len(text)) in p.candidates(text)
+
+
 def test_held_out_accuracy(finder):
     x, y = p.examples(77, 1500)
     guess = finder.model.probability(x) >= finder.least[x[:, :5].argmax(axis=1)]
