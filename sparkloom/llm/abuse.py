@@ -116,6 +116,13 @@ class Folder:
         every = [word[i : i + 2] for i in range(max(1, len(word) - 1))]
         return [p for i, p in enumerate(every) if i % 3 == 0 or p in self.known]
 
+    def split(self, text: str) -> list[str]:
+        words = WORD.findall(text)
+        if CJK.search(text):
+            # a word there is about three characters long, so of unknown pairs every third counts
+            words = [p for w in words for p in (self.pairs(w) if CJK.match(w) else [w])]
+        return words
+
     def __call__(self, text: str) -> list[str]:
         """The words of a text without names of code, Japanese and Chinese runs as pairs of characters."""
         text = plain(text)
@@ -125,11 +132,7 @@ class Folder:
         if any(t in text for t in TRIPLES) or not text.isascii():
             text = LONG.sub(self.long, text)
         get = self.doubled.get
-        words = [get(w, w) for w in WORD.findall(text)]
-        if CJK.search(text):
-            # a word there is about three characters long, so of unknown pairs every third counts
-            words = [p for w in words for p in (self.pairs(w) if CJK.match(w) else [w])]
-        return words
+        return [get(w, w) for w in self.split(text)]
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
@@ -243,7 +246,7 @@ def counted(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Re
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                i = scorer.ids(WORD.findall(plain(text)))  # disguised words are too few to matter here
+                i = scorer.ids(scorer.folder.split(plain(text)))  # disguised words are too few to matter here
                 words += len(i)
                 total += np.bincount(i[i >= 0], minlength=len(total))
     total[-1] = words

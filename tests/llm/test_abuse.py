@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import abuse as a
@@ -35,6 +36,17 @@ def test_scores(spark, rows, labels):
     assert (r.documents, r.abusive) == (len(got), sum(b for *_, b in DOCS))
 
 
+def test_corpus_counts_the_words_that_are_scored():
+    scorer = a.Scorer([(t, k in a.BAD) for t, k in snippets() if k in ("none", *a.BAD)])
+    texts = ["お前は本当に馬鹿だ、消えろ。", "馬鹿な設定で全裸のサーバーが落ちる", "The worker reads the index.", None]
+    (batch,) = a.counted(iter([pa.record_batch([pa.array(texts)], names=["text"])]), scorer)
+    got = {i: n for i, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True)}
+    words = [w for t in texts if t for w in scorer.folder(t)]
+    assert got.pop(len(scorer.vocabulary)) == len(words)
+    assert {scorer.vocabulary[i]: n for i, n in got.items()} == {w: words.count(w) for w in words if w in scorer.number}
+    assert got[scorer.number["馬鹿"]] == 2
+
+
 def test_empty(spark, rows, labels):
     assert a.rate_rows(rows([], "doc_id", "text"), "doc_id", "text", labels).count() == 0
     none = a.rate_rows(rows([(1, None, "You worthless idiot, you pathetic scum.")], "doc_id", "text"), "doc_id", "text", labels.limit(0))
