@@ -10,7 +10,8 @@
   with one last word, met by ``BANDS`` bands of least hashes, share one count. Ends of
   whole texts count from their fourth class, so no text vouches for its own copies.
 * ``copied``: at most ``SPARE`` words lie outside the longest run the response shares with
-  the prompt's title or text, or every line is such a run.
+  the prompt's title or text, or every line is such a run. Below three words the response
+  must be the title; text without blanks counts by characters.
 * ``refusal`` and ``empty`` by their wording; a reply that goes on to answer is sound.
 
 Null and blank responses are ``empty``; a null title or text is an empty prompt, which has
@@ -389,6 +390,12 @@ def judge(copies: list[Text], response: Text, speaks: Text, ends: np.ndarray, to
     for c in copies:
         if len(said) >= 3 and len(c.words) >= len(said) - SPARE and len(said) - shared_run(said, c.chain) <= min(SPARE, len(said) // 3):
             return "copied"
+    if said and len(said) < 3 and said == copies[0].words:
+        return "copied"  # too short for runs: the whole title
+    if KANA.search(text):  # no blanks between words there, so characters count, about three to a word
+        flat, wholes = "".join(said), ["".join(c.words) for c in copies]
+        if flat == wholes[0] or len(flat) >= 9 and any(flat[i : len(flat) - j] in w for w in wholes for i in range(SPARE + 1) for j in range(SPARE + 1 - i)):
+            return "copied"
     lines = [WORD.findall(x) for x in text.casefold().split("\n")]
     if len(said) >= 3 and any(len(x) >= 3 for x in lines) and all(any(shared_run(x, c.chain) == len(x) for c in copies) for x in lines if x):
         return "copied"  # put together from whole stretches, or the title again and again

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,16 @@ def test_empty_tables(spark, tables):
     assert d.broken_pairs(tables[0].where("number = 303"), "number", tables[1].limit(0)).collect()[0].defect == "refusal"
 
 
+@pytest.mark.parametrize(
+    ("title", "said", "want"),
+    [("Slow server", "slow server", "copied"), ("Timeouts", "“Timeouts”", "copied"), ("サーバーの再起動", "「サーバーの再起動」", "copied"), ("設定", "設定", "copied"), ("キャッシュが消える問題について", "キャッシュが消える問題について。", "copied"), ("Slow server", "Slow.", None), ("設定ファイル", "再起動する。", None), ("Timeouts", "Restart it.", None)],
+)
+def test_short_and_unspaced_titles(title, said, want):
+    ends, head = np.zeros((2, d.BUCKETS), np.float32), d.Text(title)
+    ends[1] = 1
+    assert d.judge([head], d.Text(said), head, ends, d.Tokens(), None) == want
+
+
 def test_shared_run_against_brute_force():
     rnd = random.Random(2)
     for _ in range(300):
