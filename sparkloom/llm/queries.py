@@ -56,6 +56,15 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_rows(read_table(spark, d, "discussions"), "number", "body_text").select("number", "piece_no", "piece")
 
 
+def p6_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, and whether every piece keeps the limit and the overlap."""
+    made = p6_pieces(spark, d).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))).alias("p"))
+    back, most = splitting.OVERLAP, splitting.LIMIT
+    fresh = F.transform("p", lambda x: F.when(x["piece_no"] == 1, x["piece"]).otherwise(F.substring(x["piece"], back + 1, most)))
+    follows = F.transform("p", lambda x, i: (i == 0) | F.startswith(x["piece"], F.right(F.get("p", i - 1)["piece"], F.lit(back))))
+    return made.select("number", F.md5(F.array_join(fresh, "")).alias("digest"), F.forall("p", lambda x: F.length(x["piece"]) <= most).alias("within"), F.forall(follows, lambda x: x).alias("overlapping"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_rows(read_table(spark, d, "documents"), "doc_id", "text")
 
@@ -97,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
     gram = f"unnest(list_transform(range(1, len(w) - {leaks.RUN} + 2), lambda i: array_to_string(w[i:i + {leaks.RUN - 1}], ' ')))"
     return {
         "p6_found": "SELECT DISTINCT number FROM discussions WHERE length(body_text) > 4000",
+        "p6_contract": "SELECT DISTINCT number, md5(body_text) AS digest, true AS within, true AS overlapping FROM discussions WHERE length(body_text) > 4000",
         "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, {gram} AS g FROM (SELECT item_id, {words} AS w FROM benchmark)), d AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, {words} AS w FROM documents))
             SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i ON i.g = d.g""",
     }

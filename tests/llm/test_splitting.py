@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkloom.llm import splitting as s
 
@@ -63,6 +64,25 @@ def test_very_long(rows):
     check(text, cut(rows, [text], 4000, 200)[0], 4000, 200)
 
 
+def test_no_run_of_blanks_or_marks_passes_the_limit(rows):
+    rnd = random.Random(8)
+    texts = ["word " * 600 + "\n" + " " * 5000 + "\n" + "tail " * 900, "." + '"' * 600 + "x" * 9000]
+    for _ in range(60):
+        parts = [rnd.choice([" ", "\t", '"', "'", ")", "]", "\n", "\r\n", ".", "。", "ab ", "x"]) * int(10 ** rnd.uniform(0, 4)) for _ in range(rnd.randint(2, 7))]
+        texts.append("".join(parts))
+    for limit, overlap in ((4000, 200), (100, 10), (40, 0)):
+        got = cut(rows, texts, limit, overlap)
+        assert set(got) == {i for i, t in enumerate(texts) if len(t) > limit}
+        for i, p in got.items():
+            check(texts[i], p, limit, overlap)
+
+
+def test_running_sums(spark):
+    sizes = [[3, 1, 4], list(range(1000)), [7] * 256, [7] * 257, [5]]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in sizes], "a array<int>").select(s.running(F.col("a")).alias("x")).collect()]
+    assert got == [[sum(x[:i]) for i in range(len(x))] for x in sizes]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(alphabet="ab \n.\r,é", min_size=41, max_size=300))
 def test_pattern_covers_every_text(text):
