@@ -19,6 +19,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Letters of other scripts drawn like a Latin letter, then that letter.
 CYRILLIC = ("АВЕЅЗІЈКМНОРСТУХаеѕіјорсухһԁԛԝӀӏ", "ABESЗIJKMHOPCTYXaesijopcyxhdqwIl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEZHIKMNOPTYXovp")
@@ -102,37 +104,46 @@ def block_of(flat: Column) -> Column:
     return F.xxhash64(F.when(is_ascii(flat), flat).otherwise(F.regexp_replace(flat, r"[A-Za-z]?\p{M}+|[^\x00-\x7f]+", "")))
 
 
-def classes(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, class_id, raw, canonical`` of every row whose text shares its class with a differently stored text.
+def forms(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``raw, class_id, canonical`` of every stored text (by hash) whose class holds a differently stored one.
 
     Blocks that hold one stored text only are left out by hash, before any text is
-    shuffled; the rest is grouped under the collation.
+    shuffled. Of the rest each stored text goes on once, however many rows have it, and is
+    grouped under the collation.
     """
     base = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), mapped(F.col(text)).alias("_flat")).where(F.col("_flat").rlike(r"\S"))
     base = base.withColumns({"_block": block_of(F.col("_flat")), "_raw": F.xxhash64("_text")})
-    several = (
-        base.select("_block", "_raw").groupBy("_block").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).where("lo <> hi").select("_block")
-    )
-    held = base.join(several, "_block", "left_semi").withColumn("_form", F.collate("_flat", "UNICODE"))
-    groups = held.groupBy("_block", "_form").agg(
+    several = base.groupBy("_block").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).where("lo <> hi").select("_block")
+    held = base.join(materialize(several, "blocks"), "_block", "left_semi")
+    once = held.groupBy("_block", "_raw").agg(F.min("_key").alias("_key"), F.min("_flat").alias("_flat"), F.min("_text").alias("_text"))
+    once = materialize(once, "forms").withColumn("_form", F.collate("_flat", "UNICODE"))
+    groups = once.groupBy("_block", "_form").agg(
         F.min("_key").alias("class_id"), F.min(canonical(F.col("_text"))).alias("canonical"), F.min("_raw").alias("lo"), F.max("_raw").alias("hi")
     )
-    return (
-        held.join(groups.where("lo <> hi"), ["_block", "_form"])
-        .select(F.col("_key").alias(key), "class_id", F.col("_raw").alias("raw"), "canonical")
-        .dropDuplicates([key, "class_id", "raw"])
-    )
+    found = once.join(groups.where("lo <> hi"), ["_block", "_form"])
+    return materialize(found.select(F.col("_raw").alias("raw"), "class_id", "canonical"), "classes")
+
+
+def stored(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, raw``: each id with the hash of its stored text, once."""
+    return rows.where(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(text).alias("raw")).distinct()
 
 
 def same_reading(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs ``<key>_a < <key>_b`` of ids whose texts read the same and are stored differently."""
-    members = classes(rows, key, text).select("class_id", "raw", key)
-    a, b = (members.select("class_id", F.col("raw").alias(f"raw_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
-    hit = (F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("raw_a") != F.col("raw_b"))
-    return a.join(b, "class_id").where(hit).select(f"{key}_a", f"{key}_b").distinct()
+    """Pairs ``<key>_a < <key>_b`` of ids whose texts read the same and are stored differently.
+
+    The stored texts of a class, few whatever the number of ids, are paired first; ids join
+    them then, so ids with one stored text never meet each other.
+    """
+    found = forms(rows, key, text).select("raw", "class_id")
+    a, b = (found.select("class_id", F.col("raw").alias(f"raw_{x}")) for x in "ab")
+    pairs_ = materialize(a.join(b, "class_id").where("raw_a <> raw_b").select("raw_a", "raw_b"), "pairs")
+    ids = materialize(stored(rows, key, text).join(found.select("raw"), "raw", "left_semi"), "ids")
+    left, right = (ids.select(F.col("raw").alias(f"raw_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
+    return pairs_.join(left, "raw_a").join(right, "raw_b").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
 
 
 def unify(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key, text, class_id``: every distinct id with its text in the one form; ``class_id`` is null where no other id is stored differently."""
     base = rows.select(F.col(key), canonical(F.col(text)).alias("_own"), F.xxhash64(text).alias("raw")).dropDuplicates([key, "raw"])
-    return base.join(classes(rows, key, text), [key, "raw"], "left").select(key, F.coalesce("canonical", "_own").alias(text), "class_id").distinct()
+    return base.join(forms(rows, key, text), "raw", "left").select(key, F.coalesce("canonical", "_own").alias(text), "class_id").distinct()

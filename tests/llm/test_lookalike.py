@@ -40,3 +40,23 @@ def test_python_and_sql_agree(spark):
     texts = [BASE, *VARIANTS, *OTHERS, "Привет мир, ёлка", "ｶﾞｷﾞ テスト", "e\u0301\u0302x", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.c for r in df.select(l.canonical(F.col("t")).alias("c")).collect()] == [l.unified(t) for t in texts]
+
+
+def test_a_text_of_many_ids_meets_its_other_form_only(spark):
+    """One stored text under a third of a million ids, and one id that stores it with another blank."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(frame):
+        began = time.time()
+        n = l.same_reading(frame, "number", "body_text").count()
+        return n, time.time() - began
+
+    many, line = 200_000, "one text that everybody posts again"
+    ids = spark.range(many).withColumnRenamed("id", "number")
+    copies = ids.withColumn("body_text", F.lit(line)).union(spark.createDataFrame([(many, line.replace(" ", " "))], "number bigint, body_text string"))
+    distinct = ids.withColumn("body_text", F.format_string(line + " %d", "number"))
+    took(distinct)  # starts the engine
+    (n, hot), (none, cold) = took(copies), took(distinct)
+    assert n == many and none == 0 and hot < 3 * cold + 5

@@ -71,3 +71,11 @@ def test_signature_agreement_is_the_probability_jaccard(weights):
     both = np.flatnonzero((x > 0) & (y > 0))
     want = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in both)
     assert abs((s[0] == s[1]).mean() - want) < 0.03
+
+
+def test_a_task_describes_a_class_once(rows):
+    body = " ".join(f"k{i}" for i in range(90))
+    made = n.described(rows([(i, "t", body) for i in range(400)] + [(1000, "t", body + " more")]).coalesce(1), "number", "title", "body_text")
+    assert made.count() == 401 and made.where("size(bands) > 0").count() == 2
+    got = n.near_classes(rows([(i, "t", body) for i in range(400)] + [(1000, "t", body + " more")]), "number", "title", "body_text").collect()
+    assert {(r.class_id, r.links) for r in got} == {(0, 1), (1000, 1)} and len(got) == 401
