@@ -7,10 +7,12 @@
    a diagonal.
 3. Smith-Waterman alignment of the item with the document around its hits scores exact,
    edited and re-laid-out copies alike.
-4. ``p8_found`` keeps alignments that hold ``run`` consecutive words unchanged.
+4. ``p8_found`` keeps alignments that hold ``run`` consecutive words unchanged: an exact
+   check on what the alignment found, as that query asks for unchanged words only.
 
-Items are a stated query set: they are read in blocks of at most ``BLOCK`` items, each
-broadcast as seeds of at most one per word, and every block meets all documents.
+Items are a stated query set: they are read in blocks of counted bytes (``BLOCK``, and one
+item at least), each broadcast as its words and seeds, and every block meets all documents.
+Several texts of one item are kept apart by a word that equals no other.
 
 Null and blank texts match nothing. Repeated rows of an id count once. Empty tables give
 an empty result. Words are runs of letters, digits and underscores, compared without case.
@@ -26,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, splitmix
 from .nearcopies import Words, runs
 
-GRAM, RUN, BLOCK, PAD = 5, 12, 20_000, 32
+GRAM, RUN, BLOCK, PAD = 5, 12, 16 << 20, 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -100,8 +103,9 @@ def matched(batches: Iterator[pa.RecordBatch], items: dict[int, np.ndarray], tab
                     if k == len(starts) or starts[k] - starts[k - 1] > len(words_of) + PAD:
                         lo = max(0, starts[first] - PAD)
                         part = doc[lo : starts[k - 1] + len(words_of) + PAD]
-                        score = max(score, align(words_of, part))
-                        run = max(run, longest(words_of, part, {s - lo for s in starts[first:k]}))
+                        if MATCH * np.isin(words_of, part).sum() >= least:  # no alignment scores more
+                            score = max(score, align(words_of, part))
+                            run = max(run, longest(words_of, part, {s - lo for s in starts[first:k]}))
                         first = k
                 if score >= least:
                     out.append((i, item, score, run, len(words_of)))
@@ -113,6 +117,19 @@ def matched(batches: Iterator[pa.RecordBatch], items: dict[int, np.ndarray], tab
             )
 
 
+def blocks_of(known: DataFrame, most: int) -> Iterator[list[int]]:
+    """Ids of items whose texts have at most ``most`` bytes together, one item at least; sizes come one at a time, in the order of ids."""
+    chosen, held = [], 0
+    for r in known.groupBy("id").agg(F.sum(F.octet_length("t")).alias("size")).orderBy("id").toLocalIterator():
+        if chosen and (held + r["size"] > most or len(chosen) >= 10_000):
+            yield chosen
+            chosen, held = [], 0
+        chosen.append(r["id"])
+        held += r["size"]
+    if chosen:
+        yield chosen
+
+
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = RUN * MATCH, block: int = BLOCK) -> DataFrame:
     """``key, item_key, score, run, size``: alignments of at least the score ``least``.
 
@@ -122,15 +139,16 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     known = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("id"), F.col(item_text).alias("t")).dropDuplicates()
-    blocks = max(1, -(-known.count() // block))
+    known = materialize(known, "items")
     made = None
-    for k in range(blocks):
+    for chosen in blocks_of(known, block):
         words = Words()
-        rows = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()
+        rows = known.where(F.col("id").isin(chosen)).orderBy("id", F.xxhash64("t")).toPandas()
         own: dict[int, list[np.ndarray]] = defaultdict(list)
-        for i, t in zip(rows.id, rows.t, strict=True):
-            own[int(i)].append(words(t.casefold()))
-        parts = {i: np.concatenate(v) for i, v in own.items()}
+        for n, (i, t) in enumerate(zip(rows.id, rows.t, strict=True)):
+            apart = splitmix(np.array([(1 << 63) + n], np.uint64))
+            own[int(i)] += [words(t.casefold()), apart]
+        parts = {i: np.concatenate(v[:-1]) for i, v in own.items()}
         grams = np.unique(np.concatenate([np.empty(0, np.uint64), *(runs(w, GRAM) for w in parts.values())]))
         if not len(grams):
             continue

@@ -31,7 +31,7 @@ def brute(docs, items, run=12):
 def test_all_quotes_are_found(spark, rows):
     docs, items = corpus()
     b = spark.createDataFrame([(i, "suite", t) for i, t in items], "item_id bigint, suite string, text string")
-    for block in (20_000, 7):
+    for block in (1 << 24, 700, 1):
         got = l.leaks(rows(docs, "doc_id", "text"), "doc_id", "text", b, "item_id", "text", block=block).where("run >= 12")
         assert {(r.doc_id, r.item_id) for r in got.collect()} == brute(docs, items)
 
@@ -65,3 +65,16 @@ def test_an_edited_copy_scores(spark, rows):
     b = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
     (r,) = l.leaks(rows([(5, None, "before " + " ".join(edited) + " after")], "doc_id", "text"), "doc_id", "text", b, "item_id", "text").collect()
     assert r.run == 8 and r.score > 50 and r["size"] == 40
+
+
+def test_texts_of_one_item_are_kept_apart(spark, rows):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    items = spark.createDataFrame([(1, a), (1, b)], "item_id bigint, text string")
+    docs = [(1, None, " ".join([*a.split()[-10:], *b.split()[:10]])), (2, None, " ".join([*b.split()[-10:], *a.split()[:10]])), (3, None, b[:60])]
+    got = {r.doc_id: r.run for r in l.leaks(rows(docs, "doc_id", "text"), "doc_id", "text", items, "item_id", "text", least=10).collect()}
+    assert got[1] == got[2] == 10 and got[3] > 12
+
+
+def test_blocks_hold_counted_bytes(spark):
+    known = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((5, 5, 5, 50, 1, 1))], "id bigint, t string")
+    assert list(l.blocks_of(known, 10)) == [[0, 1], [2], [3], [4, 5]] and list(l.blocks_of(known.limit(0), 10)) == []
