@@ -12,7 +12,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Boosted:
     """Logistic boosting: each tree asks the same ``depth`` questions of every row."""
 
-    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 17, ridge: float = 1.0) -> None:
+    def __init__(self, rounds: int = 100, depth: int = 5, rate: float = 0.3, bins: int = 17, ridge: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
