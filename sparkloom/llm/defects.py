@@ -3,9 +3,12 @@
 * ``other_language``: the language posteriors of prompt and response, by naive Bayes over
   hashed character n-grams of their words. It is fitted on at most ``LANGUAGE_ROWS``
   labelled rows, chosen by hash, whose labels may be partly wrong. Names of code are left out.
-* ``truncated``: the likelihood that a text ends after its last words, from counts over all
-  texts of how often each run of up to four words ends a line or sentence. Counts are kept
-  in a table of fixed size, summed by hash bucket, so it does not grow with the corpus.
+* ``truncated``: the likelihood that a text ends after its last words, from exact counts over
+  all texts of how often each run of up to four words is met and how often it ends a line,
+  sentence or text. Only runs that end an undecided text are counted: a Bloom filter of those
+  runs, of bounded size, goes to the counting tasks, so that they send no others to the
+  shuffle; a run it lets through by chance is dropped by the join. Undecided pairs meet the
+  counts in joins, so nothing that grows with the corpus reaches the driver.
   A text's own end counts once for all its copies: equal texts are one, and near copies
   with one last word, met by ``BANDS`` bands of least hashes, share one count. Ends of
   whole texts count from their fourth class, so no text vouches for its own copies.
@@ -24,17 +27,19 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, splitmix
 from .lookalike import unified
 
-LANGUAGE_ROWS, BUCKETS, NGRAM_BUCKETS, WORDS_KEPT = 4000, 1 << 22, 1 << 16, 200_000
+LANGUAGE_ROWS, NGRAM_BUCKETS, WORDS_KEPT, RUNS_KEPT = 4000, 1 << 16, 200_000, 2_000_000
+FILTER_BITS, MOST_FILTER_BITS = 32, 27  # of the Bloom filter: for each run, and the exponent of its greatest size
 LEAST_END, PRIOR, SPARE, MARGIN, REPEATS = 0.04, 4.0, 2, 6.0, 3
 BANDS, BAND_ROWS, OWN = 16, 4, 3
 
@@ -48,7 +53,8 @@ REFUSAL = re.compile(
 REFUSED = re.compile(r"(?i)\b(?:answer\w*|help|assist\w*|comment|discuss\w*|explain\w*|guidance|advi[cs]e|describ\w*|share|post|fulfil\w*|say anything|write down|respond|reply|disclose|request)\b|no text from me")
 REFUSED_ELSEWHERE = re.compile(r"(?i)no puedo (?:ayudar|responder|contestar)|(?:kann|darf|möchte)\b[^.!?]{0,60}\bnicht\b[^.!?]{0,30}(?:helfen|beantworten|antworten|sagen)|ne (?:peux|puis) pas\b[^.!?]{0,30}(?:aider|répondre)|não posso (?:ajudar|responder)|не (?:могу|буду)\b[^.!?]{0,20}(?:помочь|ответить|отвечать)|(?:お答え|お手伝い|回答)(?:は)?(?:でき|致しかね)")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
-FILLER_WORDS = 14
+COURTESY = 14  # words
+STAND_IN_WORDS = max(len(x.split()) for x in STAND_INS)
 
 TOKEN = re.compile(r"[^\W\d]\w*|\+?\d[\d ()/.-]{5,}\d|\d+(?:\.\d+)*|[^\w\s]|\n")
 DATA_TOKEN = re.compile(r"\w+://\S+|[\w.+-]+@[\w.-]*\w|" + TOKEN.pattern)
@@ -56,6 +62,7 @@ LETTER = re.compile(r"\s[a-wyzа-я]$")
 MOOD = re.compile(r"\s+(?:[:;]-?[()DP]|;)$")
 LABEL = re.compile(r"(?:^|[.!?][ ]+)[ >*+\t-]*[A-Za-z]+(?: [a-z]+)? ?[:=] ?(?=\S)")
 DATUM = re.compile(r"""["'(\[]*(?:[A-Z0-9+#@(]|at\b|dot\b|rue\b|bis\b)|.*[@\d]""")
+SPELLED_AT, SPELLED_DOT = re.compile(r"(?i)[\[( ]at[\]) ]"), re.compile(r"(?i)\bdot\b")
 CLOSING = re.compile(r"(?:[Cc]c|[Rr]egards|[Tt]hanks(?: in advance)?|[Cc]heers|[Bb]est(?: \w+)?|[Ss]incerely|[Yy]ours)[,!.:]* +(?=[A-ZÀ-Þ])")
 WORD = re.compile(r"\w+")
 CAMEL = re.compile(r"[A-Z]+[a-z0-9]+\w*[A-Z]\w*|[a-z]+[A-Z]\w*")
@@ -121,20 +128,68 @@ class Tokens:
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def contexts(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Buckets of the contexts that end at each token from the fourth: one to four words, then one to three with the last, or last two, by shape."""
-    word, form = table[0, ids], table[1, ids]
-    w0, w1, w2, w3, f0, f1 = word[3:], word[2:-1], word[1:-2], word[:-3], form[3:], form[2:-1]
-    a, b, c, d, e, f = FACTORS
+def mixed(k: np.ndarray, i: int) -> np.ndarray:
+    return (k ^ (k >> np.uint64(29))) * FACTORS[i % 6] ^ np.uint64(i)
+
+
+def by_words(w0: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> list[np.ndarray]:
+    """Runs of one to four words, from the last word back."""
+    a, b, c, _, e, f = FACTORS
+    two = w0 * a + w1 * b
+    return [mixed(k, i) for i, k in enumerate((w0 * e, two, two + w2 * c, two + w2 * c + w3 * f))]
+
+
+def by_shape(f0: np.ndarray, f1: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> list[np.ndarray]:
+    """Runs of one to three words, the last word or the last two by shape."""
+    _, b, c, d, e, f = FACTORS
+    seen = f0 * d
+    return [mixed(k, 4 + i) for i, k in enumerate((seen, seen + w1 * b, seen + f1 * f + w2 * c, seen + w1 * e + w2 * c))]
+
+
+def end_runs(ids: list[int], table: np.ndarray) -> list[list[int]]:
+    """The runs a text ends with, short to long: by words, and where the last word is capitalised or no word also by shape."""
+    last = np.array([0, 0, 0, *ids][-4:], np.int64)
+    w, f = table[0, last][::-1], table[1, last][::-1]
     with np.errstate(over="ignore"):
-        two, seen = w0 * a + w1 * b, f0 * d
-        keys = [w0 * e, two, two + w2 * c, two + w2 * c + w3 * f, seen, seen + w1 * b, seen + f1 * f + w2 * c, seen + w1 * e + w2 * c]
-        return np.stack([((k ^ (k >> np.uint64(29))) * FACTORS[i % 6] >> np.uint64(64 - 22)).astype(np.int64) for i, k in enumerate(keys)])
+        groups = [by_words(*w[:, None])] + ([] if f[0] == LOWER else [by_shape(f[:1], f[1:2], w[1:2], w[2:3])])
+    return [[int(k.view(np.int64)[0]) for k in g] for g in groups]
+
+
+class Bloom:
+    """Which runs are wanted: one bit each, so one that is wanted is never missed."""
+
+    def __init__(self, power: int) -> None:
+        self.power, self.words = power, np.zeros(1 << (power - 6), np.uint64)
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.power)
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def bloom_of(runs: DataFrame) -> Bloom:
+    """Of distinct ``run``s; its bits are put together by the executors, and come as at most 2^(MOST_FILTER_BITS - 6) words."""
+    power = min(MOST_FILTER_BITS, max(16, (runs.count() * FILTER_BITS).bit_length()))
+    bloom = Bloom(power)
+    at = F.shiftrightunsigned("run", 64 - power)
+    word = runs.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("bit"))
+    made = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()
+    bloom.words[made["word"].to_numpy()] = made["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return bloom
+
+
+def counted(batches: Iterator[pa.RecordBatch], bloom: Bloom) -> Iterator[pa.RecordBatch]:
+    """``run, n, inside``: how often each wanted run is met before a text's end, and how often before an end inside a text."""
+    tokens, parts, held = Tokens(), [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, n, e = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        keys, at = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(at, n).astype(np.int64), np.bincount(at, e).astype(np.int64)
+
+    def sent() -> pa.RecordBatch:
+        keys, n, e = summed() if parts else (np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(e)], ["run", "n", "inside"])
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse counts of each bucket: how often met before the text's end, how often before an end inside a text."""
-    tokens, counts = Tokens(), np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         texts = [unified(t).strip() for column in batch.columns for t in column.to_pylist() if t]
         for lo in range(0, len(texts), 2000):
@@ -146,91 +201,74 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids += tokens(text)
                     ids += (0, 0, 0)
             flat = np.array([*ids, 0], np.int64)
-            found = contexts(tokens.table, flat[:-1])
             kind = tokens.table[2, flat]
-            after = kind[4:]
-            real = (kind[3:-1] < 2) & (after != 3)
-            for row, chosen in zip(counts, (real, real & ((after == 1) | (after == 2))), strict=True):
-                row += np.bincount(found[:, chosen].ravel(), minlength=BUCKETS).astype(np.int32)
-    some = np.flatnonzero(counts[0])
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c[some]) for c in counts)], ["bucket", "n", "inside"])
-
-
-def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text that does not end with a stop: its hash, bands of least hashes of its runs of three tokens with its last token, and the buckets of its end."""
-    tokens = Tokens()
-    odd = splitmix(np.arange(BANDS * BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
-    a, b, c, d = FACTORS[:4]
-    for batch in batches:
-        names, bands, ends = [], [], []
-        for text in {unified(t).strip() for column in batch.columns for t in column.to_pylist() if t}:
-            if not text or text[-1] in STOPS and "://" not in text.rsplit(None, 1)[-1]:
-                continue
-            if len(tokens.known) > WORDS_KEPT:
-                tokens.clear()
-            ids = tokens(text)
-            if not ids:
-                continue
-            at = contexts(tokens.table, np.array([0, 0, 0, *ids][-4:], np.int64))[:, 0]
-            word = tokens.table[0, [0, 0, *ids]]
+            at = np.flatnonzero((kind[3:-1] < 2) & (kind[4:] != 3)) + 3  # words that something follows
+            word, form = tokens.table[0, flat], tokens.table[1, flat]
             with np.errstate(over="ignore"):
-                run = np.unique(splitmix(word[2:] * a + word[1:-1] * b + word[:-2] * c))
-                least = splitmix((run[:, None] * odd).min(axis=0)).reshape(BANDS, BAND_ROWS)
-                key = splitmix((least * FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + word[-1] * d + np.arange(BANDS, dtype=np.uint64))
-            names.append(xxhash.xxh3_64_intdigest(text))
-            bands.append(key.view(np.int64))
-            ends.append(at)
-        sizes = lambda width: pa.array(np.arange(len(names) + 1, dtype=np.int32) * width)
-        flat = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(names, np.uint64).view(np.int64)), pa.ListArray.from_arrays(sizes(BANDS), flat(bands, np.int64)), pa.ListArray.from_arrays(sizes(8), flat(ends, np.int32))], ["id", "bands", "buckets"]
-        )
+                wanted = at[bloom.has(by_words(word[at], word[at - 1], word[at - 2], word[at - 3])[0])]
+                groups = [(wanted, by_words(word[wanted], word[wanted - 1], word[wanted - 2], word[wanted - 3]))]
+                wanted = at[(form[at] != LOWER)]
+                wanted = wanted[bloom.has(by_shape(form[wanted], form[wanted - 1], word[wanted - 1], word[wanted - 2])[0])]
+                groups.append((wanted, by_shape(form[wanted], form[wanted - 1], word[wanted - 1], word[wanted - 2])))
+            for where, keys in groups:
+                after = kind[where + 1]
+                end = ((after == 1) | (after == 2)).astype(np.int64)
+                for k in keys:
+                    some = bloom.has(k)
+                    parts.append((k[some], np.ones(int(some.sum()), np.int64), end[some]))
+                    held += len(parts[-1][0])
+            if held > RUNS_KEPT:
+                parts = [summed()]
+                held = len(parts[0][0])
+                if held > RUNS_KEPT // 2:
+                    yield sent()
+                    parts, held = [], 0
+    yield sent()
+
+
+BAND_FACTORS = splitmix(np.arange(BANDS * BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+def tail_bands(ids: list[int], table: np.ndarray) -> np.ndarray:
+    """Bands of the least hashes of a text's runs of three tokens, with its last token."""
+    a, b, c, d = FACTORS[:4]
+    word = table[0, [0, 0, *ids]]
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        run = np.unique(splitmix(word[2:] * a + word[1:-1] * b + word[:-2] * c))
+        for lo in range(0, len(run), 4096):
+            least = np.minimum(least, (run[lo : lo + 4096, None] * BAND_FACTORS).min(axis=0))
+        rows = splitmix(least).reshape(BANDS, BAND_ROWS)
+        return splitmix((rows * FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + word[-1] * d + np.arange(BANDS, dtype=np.uint64))
 
 
-def last_counts(rows: DataFrame, columns: list) -> DataFrame:
-    """``bucket, last``: how often each context ends a text, each class of copies counted once."""
-    made = rows.select(*columns).mapInArrow(tails, "id bigint, bands array<bigint>, buckets array<int>")
-    held = materialize(made.groupBy("id").agg(F.first("bands").alias("bands"), F.first("buckets").alias("buckets")), "tails")
+def last_counts(tails: DataFrame) -> DataFrame:
+    """``run, last``: how often each run ends a text of ``tails(id, bands, ends)``, each class of copies counted once."""
+    held = materialize(tails.groupBy("id").agg(F.first("bands").alias("bands"), F.first("ends").alias("ends")), "tails")
     each = held.select("id", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
     size = each.join(shared, "band").groupBy("id").agg(F.max("size").alias("size"))
-    share = held.select("id", "buckets").join(size, "id", "left").select(F.explode("buckets").alias("bucket"), (1 / F.coalesce("size", F.lit(1))).alias("share"))
-    return share.groupBy("bucket").agg(F.sum("share").alias("last"))
-
-
-def end_table(rows: DataFrame, columns: list) -> np.ndarray:
-    """``2 x BUCKETS``: how often each context is met and how often it is an end."""
-    made = rows.select(*columns).mapInArrow(counted, "bucket int, n int, inside int")
-    total = made.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "inside")]).toArrow()
-    table = np.zeros((2, BUCKETS), np.float32)
-    at = total["bucket"].to_numpy()
-    table[0, at], table[1, at] = total["n"].to_numpy(), total["inside"].to_numpy()
-    last = last_counts(rows, columns).where(F.col("last") > OWN).toArrow()
-    table[:, last["bucket"].to_numpy()] += np.maximum(last["last"].to_numpy() - OWN, 0).astype(np.float32)
-    return table
-
-
-def end_likelihood(text: str, tokens: Tokens, table: np.ndarray) -> float:
-    """The probability of an end after the text's last word, short contexts backing long ones.
-
-    Names and numbers are mostly new, so where the last word is capitalised or no word, the
-    contexts by shape count if they are surer of an end.
-    """
-    if LETTER.search(text):
-        return 0.0  # a word cut after its first letter
-    ids = tokens(text[-400:])[-4:]  # the tokens that count
-    if not ids:
-        return 1.0
-    flat = np.array([0, 0, 0, *ids][-4:], np.int64)
-    at = contexts(tokens.table, flat)[:, 0]
-    lower = tokens.table[1, flat[-1]] == LOWER
-    likely = []
-    for part in (at[:4], at[4:]):
-        p = 0.03
-        for n, e in zip(table[0, part], table[1, part], strict=True):
-            p = (e + PRIOR * p) / (n + PRIOR)
-        likely.append(float(p))
-    return likely[0] if lower else max(likely)
+    share = held.select("id", "ends").join(size, "id", "left").select(F.explode(F.flatten("ends")).alias("run"), (1 / F.coalesce("size", F.lit(1))).alias("share"))
+    return share.groupBy("run").agg(F.sum("share").alias("last"))
+
+
+def likelihood(counts: Column) -> Column:
+    """The probability of an end after runs counted as ``n, e``, short runs backing long ones."""
+    return F.aggregate(counts, F.lit(0.03), lambda p, c: (c["e"] + PRIOR * p) / (c["n"] + PRIOR))
+
+
+def likely_ends(groups: DataFrame, threads: DataFrame, columns: list, tails: DataFrame) -> DataFrame:
+    """``group, p``: the likelihood of an end after each of ``groups(runs)``, whose name is their longest run."""
+    named = materialize(groups.select(F.element_at("runs", -1).alias("group"), "runs").dropDuplicates(["group"]), "groups")
+    each = named.select("group", F.posexplode("runs").alias("pos", "run"))
+    bloom = threads.sparkSession.sparkContext.broadcast(bloom_of(each.select("run").distinct()))
+    met = threads.select(*columns).mapInArrow(lambda it: counted(it, bloom.value), "run bigint, n bigint, inside bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    last = last_counts(tails).select("run", F.greatest(F.col("last") - OWN, F.lit(0.0)).alias("last")).where("last > 0")
+    none = F.lit(0).cast("bigint")
+    both = met.select("run", "n", "inside", F.lit(0.0).alias("last")).unionByName(last.select("run", none.alias("n"), none.alias("inside"), "last"))
+    total = materialize(both.groupBy("run").agg((F.sum("n") + F.sum("last")).alias("n"), (F.sum("inside") + F.sum("last")).alias("e")), "ends")
+    counts = each.join(total, "run", "left").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("e", F.lit(0.0)).alias("e")))).alias("counts"))
+    return counts.select("group", likelihood(F.col("counts")).alias("p"))
 
 
 class Languages:
@@ -298,14 +336,14 @@ class Languages:
 
 def is_field(text: str) -> bool:
     """Whether the text's last line ends as a field with data in it, or as a name under a closing formula."""
-    line = text.rsplit("\n", 1)[-1][-200:]
+    line = text.rsplit("\n", 1)[-1]
     label = None
     for label in LABEL.finditer(line):
         pass
-    if label and re.search(r"(?i)[\[( ]at[\]) ].*\bdot\b", line[label.end() :]):
-        return True
     if label and all(DATUM.match(w) for w in line[label.end() :].split()):
         return True
+    if label and (spelled := SPELLED_AT.search(line, label.end())) and SPELLED_DOT.search(line, spelled.end()):
+        return True
     formula = None
     for formula in CLOSING.finditer(line):
         pass
@@ -330,26 +368,29 @@ def shared_run(part: list[str], whole: str) -> int:
 
 
 def is_empty(text: str | None) -> bool:
-    if not text:
+    """Blank, without any word, or a stand-in; the longest stand-in has ``STAND_IN_WORDS`` words, so no more are looked at."""
+    if not text or text.isspace():
         return True
-    text = text.strip()
-    return not text or len(text) <= 80 and " ".join(words_of(text)) in STAND_INS | {""} or not WORD.search(text)
+    first = [m[0] for m in islice(WORD.finditer(text), STAND_IN_WORDS + 1)]
+    return not first or len(first) <= STAND_IN_WORDS and " ".join(words_of(text)) in STAND_INS
 
 
 def is_refusal(text: str) -> bool:
-    parts = [p for p in SENTENCE.split(text.strip()) if p.strip()]
-    if not parts or len(parts) > 4:
-        return False
-    rest = 0
-    refused = False
-    for p in parts:
+    """Whether sentences decline and the different others, together, say no more than a courtesy does."""
+    rest, refused, met = 0, False, set()
+    for p in SENTENCE.split(text.strip()):
+        if not p.strip() or (same := p.strip().casefold()) in met:
+            continue
+        met.add(same)
         m = REFUSAL.search(p)
         goes_on = m and re.search(r"(?i)[,;] (?:but|however|yet)\b", p[m.start() :])
         if (m and (m[0].lower().startswith("no comment") or REFUSED.search(p)) and not goes_on) or REFUSED_ELSEWHERE.search(p):
             refused = True
-        else:
-            rest += len(WORD.findall(p))
-    return refused and rest <= FILLER_WORDS
+            continue
+        rest += len(WORD.findall(p))
+        if rest > COURTESY:
+            return False
+    return refused
 
 
 class Text:
@@ -382,8 +423,8 @@ class Text:
         return self.made["scores"]
 
 
-def judge(copies: list[Text], response: Text, speaks: Text, ends: np.ndarray, tokens: Tokens, languages: Languages | None) -> str | None:
-    """The defect of one pair; ``speaks`` is the text whose language the response must share."""
+def judge(copies: list[Text], response: Text, speaks: Text, tokens: Tokens, languages: Languages | None) -> str | list[list[int]] | None:
+    """The defect of one pair, or the runs whose likelihood of an end decides; ``speaks`` is the text whose language the response must share."""
     if is_empty(response.raw):
         return "empty"
     text, said = response.flat, response.words
@@ -399,37 +440,53 @@ def judge(copies: list[Text], response: Text, speaks: Text, ends: np.ndarray, to
     lines = [WORD.findall(x) for x in text.casefold().split("\n")]
     if len(said) >= 3 and any(len(x) >= 3 for x in lines) and all(any(shared_run(x, c.chain) == len(x) for c in copies) for x in lines if x):
         return "copied"  # put together from whole stretches, or the title again and again
-    if len(text) < 800 and is_refusal(text):
+    if is_refusal(text):
         return "refusal"
     if languages is not None and not is_empty(speaks.raw):
         a, b = speaks.scores(languages), response.scores(languages)
         i, j = int(np.argmax(a)), int(np.argmax(b))
         if i != j and a[i] - a[j] >= MARGIN / 2 and b[j] - b[i] >= MARGIN:
             return "other_language"
-    bare = MOOD.sub("", text)
-    if any(t[-1:] in STOPS or is_field(t) or end_likelihood(t, tokens, ends) >= LEAST_END for t in {text, bare}):
-        return None
-    return "truncated"
+    groups: list[list[int]] = []
+    for t in {text, MOOD.sub("", text)}:
+        if t[-1:] in STOPS or is_field(t) or not (ids := tokens(t)):
+            return None
+        if not LETTER.search(t):  # else a word cut after its first letter
+            groups += end_runs(ids, tokens.table)
+    return groups or "truncated"
 
 
-def judged(batches: Iterator[pa.RecordBatch], ends: np.ndarray, languages: Languages | None) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens()
+JUDGED = "pair string, defect string, ends array<array<bigint>>, id bigint, bands array<bigint>"
+
+
+def judged(batches: Iterator[pa.RecordBatch], languages: Languages | None) -> Iterator[pa.RecordBatch]:
+    """A row for each pair that is defective or undecided, and one without ``pair`` for each text that does not end with a stop."""
+    tokens, met = Tokens(), set()
     for batch in batches:
-        at, pairs, defects = [], [], []
+        rows: list[tuple] = []
         for i, (title, text, answered, reply) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
             if len(tokens.known) > WORDS_KEPT:
                 tokens.clear()
-            head, body = Text(title), Text(text)
+            if len(met) > RUNS_KEPT:
+                met.clear()
+            head, body, said = Text(title), Text(text), Text(reply)
             cases = [("question", [head], body, head)]
             if answered:
-                cases.append(("answer", [head, body], Text(reply), body))
+                cases.append(("answer", [head, body], said, body))
             for pair, copies, response, speaks in cases:
-                defect = judge(copies, response, speaks, ends, tokens, languages)
+                defect = judge(copies, response, speaks, tokens, languages)
                 if defect:
-                    at.append(i)
-                    pairs.append(pair)
-                    defects.append(defect)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pairs, pa.string()), pa.array(defects, pa.string())], ["key", "pair", "defect"])
+                    rows.append((i, pair, None, defect, None, None) if isinstance(defect, list) else (i, pair, defect, None, None, None))
+            for t in (body.flat, said.flat):
+                if not t or t[-1] in STOPS and "://" not in t.rsplit(None, 1)[-1] or (name := xxhash.xxh3_64_intdigest(t)) in met or not (ids := tokens(t)):
+                    continue
+                met.add(name)
+                rows.append((i, None, None, end_runs(ids, tokens.table), int(np.uint64(name).view(np.int64)), tail_bands(ids, tokens.table).view(np.int64).tolist()))
+        at, pairs, defects, ends, names, bands = zip(*rows, strict=True) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(pairs, pa.string()), pa.array(defects, pa.string()), pa.array(ends, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            ["key", "pair", "defect", "ends", "id", "bands"],
+        )
 
 
 def relabelled(texts: list[str], labels: list[str], times: int = 2) -> Languages | None:
@@ -453,7 +510,13 @@ def broken_pairs(threads: DataFrame, key: str, labelled: DataFrame, text: str =
     """``key, pair, defect`` of every defective pair of ``threads`` (``title, body_text, answered, answer.body_text``)."""
     spark, kind = threads.sparkSession, threads.schema[key].dataType.simpleString()
     reply = F.col("answer.body_text").alias("reply")
-    ends = end_table(threads, [F.col("body_text"), reply])
-    model = spark.sparkContext.broadcast((ends, fit_languages(labelled, text, label)))
-    made = threads.select(key, "title", "body_text", "answered", reply).mapInArrow(lambda it: judged(it, *model.value), f"key {kind}, pair string, defect string")
+    model = spark.sparkContext.broadcast(fit_languages(labelled, text, label))
+    seen = threads.select(key, "title", "body_text", "answered", reply).mapInArrow(lambda it: judged(it, model.value), f"key {kind}, {JUDGED}")
+    seen = materialize(seen, "pairs")
+    cases, tails = seen.where("pair IS NOT NULL"), seen.where("pair IS NULL").select("id", "bands", "ends")
+    undecided = cases.where("defect IS NULL").select("key", "pair", "ends").distinct()
+    likely = likely_ends(undecided.select(F.explode("ends").alias("runs")), threads, [F.col("body_text"), reply], tails)
+    ends = undecided.select("key", "pair", "ends", F.explode(F.transform("ends", lambda r: F.element_at(r, -1))).alias("group")).join(likely, "group")
+    cut = ends.groupBy("key", "pair", "ends").agg(F.max("p").alias("p")).where(F.col("p") < LEAST_END)
+    made = cases.where("defect IS NOT NULL").select("key", "pair", "defect").unionByName(cut.select("key", "pair", F.lit("truncated").alias("defect")))
     return made.withColumnRenamed("key", key).distinct()

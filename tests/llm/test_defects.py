@@ -67,43 +67,39 @@ def test_empty_tables(spark, tables):
     [("Slow server", "slow server", "copied"), ("Timeouts", "“Timeouts”", "copied"), ("サーバーの再起動", "「サーバーの再起動」", "copied"), ("設定", "設定", "copied"), ("キャッシュが消える問題について", "キャッシュが消える問題について。", "copied"), ("Slow server", "Slow.", None), ("設定ファイル", "再起動する。", None), ("Timeouts", "Restart it.", None)],
 )
 def test_short_and_unspaced_titles(title, said, want):
-    ends, head = np.zeros((2, d.BUCKETS), np.float32), d.Text(title)
-    ends[1] = 1
-    assert d.judge([head], d.Text(said), head, ends, d.Tokens(), None) == want
-
-
-def test_shared_run_against_brute_force():
-    rnd = random.Random(2)
-    for _ in range(300):
-        whole = [rnd.choice("abc") for _ in range(rnd.randint(0, 12))]
-        part = [rnd.choice("abc") for _ in range(rnd.randint(1, 8))]
-        best = max(j - i for i in range(len(part) + 1) for j in range(i, len(part) + 1) if any(whole[k : k + j - i] == part[i:j] for k in range(len(whole) - (j - i) + 1)))
-        want = best if best >= len(part) - d.SPARE else 0
-        assert d.shared_run(part, "\0" + "\0".join(whole) + "\0") == want
-
-
-def test_held_out_languages(tables):
-    model = d.fit_languages(tables[1], "text", "lang")
-    rnd = random.Random(9)
-    assert model.names == ["de", "en", "es"]
-    for lang in WORDS:
-        assert model.names[int(model.scores(sentence(rnd, lang)).argmax())] == lang
-
-
-def test_copies_do_not_vouch_for_their_cut(spark, tables):
-    rnd = random.Random(14)
-    made = tables[0].select("number", "title", "body_text", "answered", F.col("answer.body_text").alias("reply")).collect()
-    rows = [tuple(r) for r in made]
-    cut = body(rnd, "en", 9) + " The queue grows until the wor"
-    words = cut.split()
-    for i in range(30):  # ten rows of one text, then copies with a word changed
-        w = list(words)
-        if i >= 10:
-            w[rnd.randrange(len(w) - 6)] = f"new{i}"
-        rows.append((400 + i, "Why is it slow?", " ".join(w), False, None))
-    for i in range(30):  # one closing formula under texts of their own
-        rows.append((500 + i, "Why is it slow?", body(rnd, "en", 4) + " many greetings to everybody", False, None))
-    frame = spark.createDataFrame(rows, "number bigint, title string, body_text string, answered boolean, reply string")
-    frame = frame.withColumn("answer", F.struct(F.lit("x").alias("body"), F.col("reply").alias("body_text"))).drop("reply")
-    got = {r.number: r.defect for r in d.broken_pairs(frame, "number", tables[1]).collect() if r.number >= 400}
-    assert got == {400 + i: "truncated" for i in range(30)}
+    head = d.Text(title)
+    got = d.judge([head], d.Text(said), head, d.Tokens(), None)
+    assert got == want or want is None and isinstance(got, list)
+
+
+def test_length_decides_nothing():
+    head, sorry = d.Text("Why is it slow?"), "I cannot help with that."
+    said = lambda t: d.judge([head], d.Text(t), head, d.Tokens(), None)
+    assert said(sorry + " I am sorry." * 5) == said((sorry + "\n\n") * 200) == "refusal"
+    assert said(sorry + " Restart the worker first." + " Then clear the cache of every node, and set the limit to four." * 3) is None
+    assert said("N/A" + " -" * 500) == said("\n" * 3000 + "n/a\n" + "." * 3000) == "empty"
+    long = "word " * 3000
+    assert isinstance(said(long + "x" * 1000 + " and the wor"), list) and said(long + "\nContact: " + "a" * 900 + "@b.example") is None
+
+
+def test_runs_are_counted_exactly(spark):
+    """Against counting every run of every text."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("ab Cd the e1 . , Xy".split()) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    tokens, n, e, groups = d.Tokens(), {}, {}, []
+    for t in texts:
+        ids = tokens(t.strip())
+        for i in range(len(ids) - 1):
+            kind = tokens.table[2, ids[i]]
+            if kind < 2:
+                for g in d.end_runs([0, 0, 0, *ids[: i + 1]], tokens.table):
+                    groups.append(g)
+                    for k in g:
+                        n[k] = n.get(k, 0) + 1
+                        e[k] = e.get(k, 0) + int(tokens.table[2, ids[i + 1]] in (1, 2))
+    wanted = sorted({k for g in groups[::3] for k in g})
+    bloom = d.bloom_of(spark.createDataFrame([(k,) for k in wanted], "run bigint"))
+    assert bloom.has(np.array(wanted, np.int64).view(np.uint64)).all()
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.run: (r.n, r.inside) for r in frame.mapInArrow(lambda it: d.counted(it, bloom), "run bigint, n bigint, inside bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect()}
+    assert {k: got[k] for k in wanted} == {k: (n[k], e[k]) for k in wanted}
