@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .lookalike import unified
 
 MOST_LABELS, PRIOR, CORPUS, SEED_COUNT, CLIP, DRIFT, PAIR_CLIP, LEAST_CUT = 20_000, 100.0, 20_000.0, 6.0, 4.0, 0.6, 3.0, 4.2
@@ -271,8 +272,8 @@ def rated(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Reco
 def rate_rows(docs: DataFrame, key: str, text: str, labels: DataFrame, keep: tuple[str, ...] = (), label_text: str = "text", label: str = "label") -> DataFrame:
     """``key, *keep, score, passages`` of every document; ``passages`` counts the segments beyond the threshold."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label).isin("none", *BAD) & F.col(label_text).isNotNull()).select(F.col(label_text).alias("t"), F.col(label).alias("l")).distinct()
-    rows = known.orderBy(F.xxhash64("t"), "l").limit(MOST_LABELS).toPandas()
+    known = labels.where(F.col(label).isin("none", *BAD) & F.col(label_text).isNotNull()).select(F.col(label_text).alias("t"), F.col(label).alias("l"))
+    rows = bounded_sample(known, MOST_LABELS).toPandas()
     scorer = Scorer([(t, x in BAD) for t, x in zip(rows["t"], rows["l"], strict=True)])
     sent = spark.sparkContext.broadcast(scorer)
     counts = docs.select(text).mapInArrow(lambda it: counted(it, sent.value), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n"))

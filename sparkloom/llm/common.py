@@ -4,16 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.functions.shared import materialize, shared_folder
 
-__all__ = ["materialize", "read_table", "shared_folder", "splitmix", "unit"]
+__all__ = ["bounded_sample", "materialize", "read_table", "shared_folder", "splitmix", "unit"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct rows, chosen by the hash of the whole row: all of them where they are that few.
+
+    Rows are thinned where they are read, so what is sorted, and what any task sends, is
+    about ``most`` rows in all.
+    """
+    share = max(1, -(-rows.count() // most))
+    hashed = rows.withColumn("_h", F.xxhash64(*rows.columns))
+    return hashed.where(F.pmod("_h", F.lit(share)) == 0).distinct().orderBy("_h", *rows.columns).limit(most).drop("_h")
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer: a bijective mix of 64-bit values."""
     with np.errstate(over="ignore"):

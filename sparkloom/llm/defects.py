@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, splitmix
+from .common import bounded_sample, materialize, splitmix
 from .lookalike import unified
 
 LANGUAGE_ROWS, NGRAM_BUCKETS, WORDS_KEPT, RUNS_KEPT = 4000, 1 << 16, 200_000, 2_000_000
@@ -501,7 +501,7 @@ def relabelled(texts: list[str], labels: list[str], times: int = 2) -> Languages
 
 def fit_languages(labelled: DataFrame, text: str, label: str, most: int = LANGUAGE_ROWS) -> Languages | None:
     rows = labelled.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(text).alias("t"), F.lower(F.trim(label)).alias("l"))
-    held = rows.orderBy(F.xxhash64("t"), "l").limit(most).toPandas()
+    held = bounded_sample(rows, most).toPandas()
     texts = [unified(t) for t in held["t"]]
     return relabelled(texts, list(held["l"]))
 
