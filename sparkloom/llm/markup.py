@@ -4,20 +4,23 @@ Conversion of one text, in order:
 
 1. Code is set aside whole, with the kind its marks belong to, so nothing inside it is read
    as markup.
-2. HTML tags are parsed into a tree. Every node gets its composite text density, characters
-   a tag adjusted for the share of links around it; the node whose children's densities sum
-   highest is the content, and the least density on its path from the body is the threshold.
-   Link-dominated nodes outside the content and under the threshold are boilerplate and
-   left out. A posted text is a fragment: nodes with text outside links, code or formulas
-   are never left out. What is set aside counts with its own length.
+2. HTML tags are parsed into a tree. Every node gets its composite text density,
+   ``C/T log((C/LC) (T/LT)) / log(log(LC C/(C-LC) + C LCb/Cb + e))`` for its characters C and
+   tags T, those in links LC and LT, and the body's Cb and LCb; without any link in the body,
+   where that base is 1, it is C/T. The node whose children's densities sum highest is the
+   content, and the least density on its path from the body is the threshold: nodes outside
+   the content and under it that hold links only are page furniture and left out. A posted
+   text is a fragment, so a node with text outside links, code or formulas stays. What is
+   set aside counts with its own length.
 3. Headings, lists, tables, quotes and formulas of every kind come out in one notation:
    ``# heading``, ``- item``, ``| cell |``, ``> quote``, ``$formula$``, fenced code.
 
 Each construct met is noted under the kind it is peculiar to; bullets and quotes that
 several kinds share are noted under none.
 
-A null text gives null and no kinds, a blank text itself. Elements nested more than ``DEEPEST`` deep stand beside each other. Unclosed code reaches to the end,
-unclosed tags to the end of their parent. Repeated rows come out once.
+A null text gives null and no kinds, a blank text itself. Unclosed code reaches to the end,
+unclosed tags to the end of their parent, however deep they are nested; lists are indented
+for their first ``INDENTED`` levels. ``clean_rows`` has a row for each row it is given.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -54,6 +58,7 @@ CODE = re.compile(
 )
 TAG = re.compile(rf"<(?P<close>/?)(?P<name>(?i:{'|'.join(sorted((INLINE + ' ' + BLOCK).split(), key=len, reverse=True))}))(?P<rest>(?:\s[^<>]*)?/?)>|<!--.*?(?:-->|\Z)|<!(?i:doctype)[^>]*>", re.S)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
+ALT = re.compile(r"""(?i)\balt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 HREF = re.compile(r"""(?i)\b(?:href|src|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 LATEX_MATH = re.compile(r"\$\$(?P<a>.+?)\$\$|\\\((?P<b>.+?)\\\)|\\\[(?P<c>.+?)\\\]|(?<![\\$\w])\$(?P<d>(?=[^$\n]*(?:\\[a-zA-Z]|[\^_]))[^\s$](?:[^$\n]*[^\s$\\])?)\$(?![\d$])|\\begin\{(?P<env>equation|align|gather|math|displaymath|eqnarray)(?P<star>\*?)\}(?P<e>.+?)(?:\\end\{(?P=env)\*?\}|\Z)", re.S)
 LATEX_HEAD = re.compile(r"\\(?P<level>(?:sub){0,2}section|chapter|paragraph|subparagraph)\*?\{(?P<text>[^{}\n]*)\}")
@@ -77,47 +82,63 @@ WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*$(?P<rows>.*?)(?:^[ \t]*\|\}|\Z)", re
 WIKI_ROW = re.compile(r"^[ \t]*\|\|.*\|\|[ \t\r]*$", re.M)
 WIKI_MISC = re.compile(r"<(?P<nowiki>nowiki|ref)\b[^>]*>.*?</(?P=nowiki)>|\{\{[A-Za-z][^{}\n]*\}\}(?!\})|^\[\[(?:Category|File|Image):[^\]]*\]\]", re.S | re.M)
 HELD = re.compile(f"{OPEN}(\\d+){CLOSE}")
-DEEPEST = 200  # elements nested deeper stand beside each other
+INDENTED = 20
+SHUT = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}  # what an element of a kind closes
+FURNITURE = frozenset("nav div ul ol section aside footer header menu".split())
 LINES = re.compile(r"[ \t]*\n(?:[ \t]*\n)+")
 
 
 class Node:
-    __slots__ = ("name", "rest", "parent", "parts", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds", "plain")
+    __slots__ = ("name", "rest", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds", "plain")
 
     def __init__(self, name: str, rest: str, parent: Node | None) -> None:
         self.name, self.rest, self.parent, self.parts = name, rest, parent, []
-        self.depth = parent.depth + 1 if parent else 0
 
 
 def parse(text: str) -> Node:
+    """The tree of a text. Open elements are counted, in all and since the last one that nests, so that no step climbs for an element that is not open."""
     root = node = Node("body", "", None)
-    last = 0
+    every, since, last = Counter(), [Counter()], 0
+
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            every[node.name] -= 1
+            if node.name in NESTS:
+                since.pop()
+            else:
+                since[-1][node.name] -= 1
+            node = node.parent
+
     for m in TAG.finditer(text):
         if m.start() > last:
             node.parts.append(text[last : m.start()])
         last = m.end()
-        name = m["name"]
-        if not name:
+        if not m["name"]:
             continue
-        name = name.lower()
+        name = m["name"].lower()
         if m["close"]:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-        else:
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd"):
-                shut = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}[name]
+            if every[name] > 0:
+                up = node
+                while up.name != name or up is root:
+                    up = up.parent
+                leave(up.parent)
+            continue
+        for shut in SHUT.get(name, ()):
+            while since[-1][shut] > 0:
                 up = node
-                while up.parent is not None and up.name not in NESTS:
-                    if up.name in shut:
-                        node = up.parent
+                while up.name != shut:
                     up = up.parent
-            new = Node(name, m["rest"], node)
-            node.parts.append(new)
-            if name not in VOID and not m["rest"].endswith("/") and node.depth < DEEPEST:
-                node = new
+                leave(up.parent)
+        new = Node(name, m["rest"], node)
+        node.parts.append(new)
+        if name not in VOID and not m["rest"].endswith("/"):
+            node = new
+            every[name] += 1
+            if name in NESTS:
+                since.append(Counter())
+            else:
+                since[-1][name] += 1
     if last < len(text):
         node.parts.append(text[last:])
     return root
@@ -151,8 +172,10 @@ def measure(root: Node, codes: Sequence[str] = ()) -> None:
     share = root.link_chars / max(root.chars, 1)
     for node in reversed(order):
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
-        node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / base if c else 0.0
+        node.density = c / t
+        if root.link_chars and c:
+            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
+            node.density *= math.log(max(c / lc * t / lt, 1.0)) / math.log(base)
         node.total = sum(p.density for p in node.parts if isinstance(p, Node)) or node.density
 
 
@@ -171,61 +194,61 @@ def content(root: Node, codes: Sequence[str] = ()) -> tuple[Node, float]:
     return best, threshold
 
 
+def furniture(node: Node, threshold: float) -> bool:
+    """Whether a node outside the content is a menu or a list of links: under the threshold, with several links and nothing else."""
+    return node.name in FURNITURE and not node.plain and node.link_tags > 1 and node.density <= threshold
+
+
 def rendered(root: Node, codes: Sequence[str] = ()) -> str:
     best, threshold = content(root, codes)
     out: list[str] = []
+    # what is still to come, last first: text, or a node with its indentation, whether it is in the content, and its number in a list
+    ahead: list[str | tuple[Node, int, bool, int]] = []
 
-    def boilerplate(node: Node) -> bool:
-        return not node.plain and node.name in ("nav", "div", "ul", "section", "aside", "footer", "header") and node.density < threshold and node.link_chars * 2 > node.chars
-
-    def walk(node: Node, lead: str, within: bool) -> None:
-        number = 0
+    def open_(node: Node, deep: int, within: bool) -> None:
+        listed, parts = 0, []
         for p in node.parts:
-            if not isinstance(p, Node):
-                out.append(p)
-                continue
-            name = p.name
-            inside = within or p is best
-            if not inside and boilerplate(p):
-                continue
-            if name == "br":
-                out.append("\n")
-            elif name == "hr":
-                out.append("\n---\n")
-            elif name == "img":
-                alt = re.search(r"""(?i)\balt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", p.rest)
-                out.append(f"[image: {next(filter(None, alt.groups()), '')}]" if alt else "[image]")
-            elif len(name) == 2 and name[0] == "h" and name[1].isdigit():
-                out.append("\n\n" + "#" * int(name[1]) + " ")
-                walk(p, lead, inside)
-                out.append("\n\n")
-            elif name == "li":
-                number += 1
-                out.append(f"\n{lead}{f'{number}.' if node.name == 'ol' else '-'} ")
-                walk(p, lead + "  ", inside)
-            elif name == "tr":
-                out.append("\n|")
-                walk(p, lead, inside)
-            elif name in ("td", "th"):
-                out.append(" ")
-                walk(p, lead, inside)
-                out.append(" |")
-            elif name == "blockquote":
-                out.append("\n> ")
-                walk(p, lead, inside)
-                out.append("\n")
-            elif name == "a":
-                walk(p, lead, inside)
-                to = HREF.search(p.rest)
-                if to and (url := next(filter(None, to.groups()), "")):
-                    out.append(f" ({url})")
-            else:
-                edge = "\n\n" if name == "p" else "\n" if name in BREAKS else ""
-                out.append(edge)
-                walk(p, lead, inside)
-                out.append(edge)
-
-    walk(root, "", best is root)
+            listed += isinstance(p, Node) and p.name == "li"
+            parts.append(p if isinstance(p, str) else (p, deep, within, listed if node.name == "ol" else 0))
+        ahead.extend(reversed(parts))
+
+    open_(root, 0, best is root)
+    while ahead:
+        p = ahead.pop()
+        if isinstance(p, str):
+            out.append(p)
+            continue
+        node, deep, within, number = p
+        name, within = node.name, within or node is best
+        if not within and furniture(node, threshold):
+            continue
+        before = after = ""
+        if name == "br":
+            before = "\n"
+        elif name == "hr":
+            before = "\n---\n"
+        elif name == "img":
+            alt = ALT.search(node.rest)
+            before = f"[image: {next(filter(None, alt.groups()), '')}]" if alt else "[image]"
+        elif len(name) == 2 and name[0] == "h" and name[1].isdigit():
+            before, after = "\n\n" + "#" * int(name[1]) + " ", "\n\n"
+        elif name == "li":
+            before = f"\n{'  ' * min(deep, INDENTED)}{f'{number}.' if number else '-'} "
+            deep += 1
+        elif name == "tr":
+            before = "\n|"
+        elif name in ("td", "th"):
+            before, after = " ", " |"
+        elif name == "blockquote":
+            before, after = "\n> ", "\n"
+        elif name == "a":
+            to = HREF.search(node.rest)
+            after = f" ({url})" if to and (url := next(filter(None, to.groups()), "")) else ""
+        else:
+            before = after = "\n\n" if name == "p" else "\n" if name in BREAKS else ""
+        out.append(before)
+        ahead.append(after)
+        open_(node, deep, within)
     return "".join(out)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sparkloom.llm import markup as m
@@ -60,6 +62,42 @@ def test_code_formulas_and_remarks_are_content():
     assert "menu entry" not in m.convert(f"<div>{para}{para}</div>{menu}")[0]
 
 
+def test_planted_furniture():
+    """Articles set in pages with menus, side lists and footers of links: just the article comes out; as fragments they come out whole."""
+    rnd = random.Random(12)
+    links = lambda n: "".join(f"<li><a href='/p{i}'>{rnd.choice(['Home', 'Docs', 'News of the week', 'About us', 'Log in'])} {i}</a></li>" for i in range(n))
+    removed = 0
+    for _ in range(40):
+        paras = [" ".join(f"word{rnd.randrange(500)}" for _ in range(rnd.randint(40, 120))) for _ in range(rnd.randint(2, 6))]
+        article = "<div id='main'><h1>The title</h1>" + "".join(f"<p>{p}</p>" for p in paras) + "<p>See <a href='/more'>more on it</a>.</p></div>"
+        page = f"<nav><ul>{links(rnd.randint(4, 20))}</ul></nav><div>{article}<aside><ul>{links(rnd.randint(3, 12))}</ul></aside></div><footer><div>{''.join(f'<a href=/f{i}>Foot {i}</a>' for i in range(rnd.randint(2, 9)))}</div></footer>"
+        clean, alone = m.convert(page)[0], m.convert(article)[0]
+        assert all(p in clean for p in paras) and "# The title" in clean and "more on it (/more)" in clean
+        assert clean == alone
+        removed += 1
+    assert removed == 40
+
+
+def test_density_by_its_formula():
+    import math
+
+    root = m.parse("<div><p>" + "x" * 100 + "</p><p>" + "y" * 50 + "<a href='/z'>" + "z" * 20 + "</a></p></div>")
+    m.measure(root)
+    first, second = root.parts[0].parts
+    share = 20 / 170
+    want = lambda c, t, lc, lt: c / t * math.log(c / max(lc, 1) * t / lt) / math.log(math.log(c / (c - lc) * lc + share * c + math.e))
+    assert first.density == pytest.approx(want(100, 1, 0, 1)) and second.density == pytest.approx(want(70, 1, 20, 1)) and first.density > second.density
+    plain = m.parse("<div><p>" + "x" * 100 + "</p></div>")
+    m.measure(plain)
+    assert plain.parts[0].density == 100 and plain.parts[0].parts[0].density == 100
+
+
+def test_depth_is_no_limit():
+    clean = m.convert("<ul><li>a" * 3000 + "deepest")[0]
+    assert clean.endswith("deepest") and clean.count("- a") == 3000
+    assert m.convert("<div>" * 50_000 + "x</i>" + "</div>" * 50_000)[0] == "x"
+
+
 def test_rows(rows):
     data = [(1, None, "<b>x</b>"), (1, None, "<b>x</b>"), (2, None, None), (3, None, " "), (4, None, "<i>" * 3000 + "deep"), (5, None, "`" * 5000 + "*" * 5000 + "[" * 2000), (6, None, "<p>y</p>" * 20_000)]
     r = rows(data, text="body")
