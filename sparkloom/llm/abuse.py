@@ -52,8 +52,8 @@ LEET = str.maketrans("013457@$!|8", "oieastasiib")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[0-9]+")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 MIXED = re.compile(r"(?<![\w/.@*-])(?:[^\W\d_]+[0134578@$!*#|]+|[@$*013457]+[^\W\d_])[^\W_@$!*#|]*(?:[0134578@$!*#|]+[^\W\d_]+)*(?![\w/@*])")
-CAMEL = re.compile(r"\b[A-Z]+[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")
-SNAKE = re.compile(r"(?<!\w)[^\W_]+(?:_+[^\W_]+)+(?!\w)")
+CAMEL = re.compile(r"[A-Z](?<!\w[A-Z])[A-Z]*[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b")  # the set in front lets the search skip to it
+SIGN, BLANK, LETTER = re.compile(r"[0134578@$!*#|]"), re.compile(r"\s"), re.compile(r"[^\W\d_]")
 LINK = re.compile(r"https?://\S+")
 TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 APART = re.compile(r"(?<![\w-])(?:[^\W\d_][-.·•_ *]{1,2}){3,}[^\W\d_](?![\w-])")
@@ -63,13 +63,29 @@ LONG = re.compile(r"\w*([^\W\d_])\1\1\w*")
 SPACED = re.compile(r"(?<!\w)[^\W\d_][-.·•_ *]{1,2}[^\W\d_][-.·•_ *]{1,2}[^\W\d_](?!\w)|[*·•]")
 
 
+def without_snakes(text: str) -> str:
+    """The text without words that hold an underscore and do not begin or end with one."""
+    parts, last, at = [], 0, text.find("_")
+    while at >= 0:
+        lo, hi = at, at + 1
+        while lo > last and (text[lo - 1] == "_" or text[lo - 1].isalnum()):
+            lo -= 1
+        while hi < len(text) and (text[hi] == "_" or text[hi].isalnum()):
+            hi += 1
+        if text[lo] != "_" and text[hi - 1] != "_":
+            parts += [text[last:lo], " "]
+            last = hi
+        at = text.find("_", hi)
+    return "".join(parts) + text[last:] if parts else text
+
+
 def plain(text: str) -> str:
     """Lower case, one form, no names of code and no links."""
     text = unified(text)
     if "://" in text:
         text = LINK.sub(" ", text)
     if "_" in text:
-        text = SNAKE.sub(" ", text)
+        text = without_snakes(text)
     return CAMEL.sub(" ", text).lower()
 
 
@@ -99,6 +115,25 @@ class Folder:
                         return w
         return word
 
+    def unmixed(self, text: str) -> str:
+        """The text with its mixed words folded; only words that hold a sign are looked at."""
+        parts, last, done = [], 0, 0
+        for m in SIGN.finditer(text):
+            at = m.start()
+            if at < done:
+                continue
+            lo = at
+            while lo > done and not text[lo - 1].isspace():
+                lo -= 1
+            end = BLANK.search(text, at)
+            done = end.start() if end else len(text)
+            if LETTER.search(text, lo, done):
+                word = text[lo:done]
+                if (new := MIXED.sub(self.mixed, word)) != word:
+                    parts += [text[last:lo], new]
+                    last = done
+        return "".join(parts) + text[last:] if parts else text
+
     def apart(self, m: re.Match) -> str:
         letters = [c for c in m[0] if c.isalpha()]
         for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):
@@ -124,16 +159,19 @@ class Folder:
             words = [p for w in words for p in (self.pairs(w) if CJK.match(w) else [w])]
         return words
 
-    def __call__(self, text: str) -> list[str]:
-        """The words of a text without names of code, Japanese and Chinese runs as pairs of characters."""
+    def words(self, text: str) -> list[str]:
+        """The words of a text without names of code, Japanese and Chinese runs as pairs of characters; doubled letters as they are."""
         text = plain(text)
-        text = MIXED.sub(self.mixed, text)
+        text = self.unmixed(text)
         if SPACED.search(text):
             text = APART.sub(self.apart, text)
         if any(t in text for t in TRIPLES) or not text.isascii():
             text = LONG.sub(self.long, text)
+        return self.split(text)
+
+    def __call__(self, text: str) -> list[str]:
         get = self.doubled.get
-        return [get(w, w) for w in self.split(text)]
+        return [get(w, w) for w in self.words(text)]
 
 
 def segments(scores: list[float]) -> list[tuple[float, int, int]]:
@@ -170,6 +208,7 @@ class Scorer:
         self.snippets = [(self.folder(t), b) for t, b in snippets]
         self.vocabulary = sorted(seeds | {w for words, _ in self.snippets for w in words})
         self.number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.number = {d: self.number[w] for d, w in self.folder.doubled.items() if w in self.number} | self.number
 
     def ids(self, words: list[str]) -> np.ndarray:
         get = self.number.get
@@ -259,7 +298,7 @@ def rated(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.Reco
     for batch in batches:
         scores, passages = [], []
         for text in batch.column(1).to_pylist():
-            words, found = scorer.folder(text) if text else [], []
+            words, found = scorer.folder.words(text) if text else [], []
             score = scorer.rating(words, found)
             least = scorer.cut + scorer.place + math.log(max(len(words), 1))
             scores.append(round(score, 4) if words else 0.0)
