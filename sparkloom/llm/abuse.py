@@ -39,12 +39,12 @@ BAD = ("abusive", "hateful", "sexual")
 # Words of abuse, hate and explicit sexual talk, by language; Japanese as pairs of characters.
 SEEDS = {
     "en": "idiot moron imbecile halfwit dimwit loser scumbag bastard bitch asshole fuck fucking cunt whore slut retard pathetic worthless filthy vermin subhuman scum parasite clown cretin jerk dumbass nudes porn horny naked blowjob dick pussy cock orgasm masturbate hate despise liars ashamed ass beat licked moaned undressed bare strangle stab rape exterminate inferior rid gone miss lose kiss",
-    "de": "vollidiot idiot trottel dummkopf arschloch fresse verpiss wichser hurensohn schlampe versager erbärmlicher missgeburt abschaum ungeziefer untermenschen rausgeworfen verrecke krepier nacktbilder geil titten ficken muschi schwanz porno dummer",
-    "es": "idiota imbécil estúpido inútil gilipollas cabrón puta mierda basura escoria ratas infierno cállate muérete pendejo maricón desnuda desnudas desnudo caliente cachonda follar tetas porno polla sobran vete pedazo",
-    "fr": "idiot crétin imbécile connard connasse salope pute merde ordure gueule ferme abruti débile minable vermine parasites dégage crève raclure nue nues excité excitée bander baiser seins porno bite pauvre",
-    "pt": "idiota imbecil burro otário babaca merda lixo inferno cala verme vermes escória desgraçado puta vagabunda nua nuas pelada tesão foder peitos porno imigrantes deviam",
-    "ru": "идиот дурак дебил тупой тупая заткнись сдохни мразь сволочь ублюдок урод шлюха сука отбросы паразиты твари убирайтесь голую голые голая возбужден возбуждён порно трахать сиськи черту проваливай ничтожество жалкий мусор понаехали приезжие гнать вон",
-    "ja": "馬鹿 バカ アホ 死ね クズ 消え えろ 黙れ ゴミ 害虫 出て 追い 殺す 殺し 裸の 全裸 興奮 エロ ヌー セッ 無能 くた ばれ",
+    "de": "vollidiot idiot trottel dummkopf arschloch fresse verpiss wichser hurensohn schlampe versager erbärmlicher missgeburt abschaum ungeziefer untermenschen verrecke krepier nacktbilder geil titten ficken muschi schwanz porno",
+    "es": "idiota imbécil estúpido inútil gilipollas cabrón puta mierda basura escoria ratas infierno cállate muérete pendejo maricón desnuda desnudas desnudo caliente cachonda follar tetas porno polla",
+    "fr": "idiot crétin imbécile connard connasse salope pute merde ordure gueule ferme abruti débile minable vermine parasites dégage crève raclure nue nues excité excitée bander baiser seins porno",
+    "pt": "idiota imbecil burro otário babaca merda lixo inferno cala verme vermes escória desgraçado puta vagabunda nua nuas pelada tesão foder peitos porno",
+    "ru": "идиот дурак дебил тупой тупая заткнись сдохни мразь сволочь ублюдок урод шлюха сука отбросы паразиты твари убирайтесь голую голые голая возбужден возбуждён порно трахать сиськи проваливай ничтожество жалкий мусор",
+    "ja": "馬鹿 バカ アホ 死ね クズ 消え えろ 黙れ ゴミ 害虫 殺す 殺し 裸の 全裸 興奮 エロ ヌー セッ 無能 くた ばれ",
 }
 # English function words, which say little by themselves.
 FUNCTION = frozenset("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her him his how i if in into is it its just many me more most my no nor not of off on once only or other others our out over she should so some such than that the their them then there these they this those though to too under until up very was we were what when where whether which while who whom whose why will with would you your".split())

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -66,3 +67,36 @@ def test_segments_against_brute_force():
     for _ in range(300):
         s = [rnd.choice((-3, -2, -1, 1, 2, 4)) + rnd.random() / 64 for _ in range(rnd.randint(0, 14))]
         assert [(round(x, 6), i, j) for x, i, j in a.segments(s)] == [(round(x, 6), i, j) for x, i, j in brute(s)]
+
+
+# Written apart from the seeds' sentences; each language has its own words of abuse.
+ABUSE = {
+    "de": ["Du bist so ein Trottel, halt endlich die Fresse.", "Was für ein Arschloch, verpiss dich.", "Dieser Wichser hat wieder alles kaputt gemacht.", "Abschaum wie du gehört nicht hierher, Missgeburt.", "Sie schickte Nacktbilder und wollte ficken."],
+    "es": ["Eres un gilipollas y un inútil.", "Cállate, pendejo de mierda.", "Ojalá te pudras, cabrón, muérete.", "Esa gente es escoria, unas ratas.", "Mandó fotos desnuda y hablaba de follar."],
+    "fr": ["Ta gueule, espèce de connard.", "Quel crétin, vraiment un abruti débile.", "Crève, ordure.", "Ces gens sont des parasites, de la vermine.", "Elle montrait ses seins nue, du porno pur."],
+    "pt": ["Seu idiota, cala a boca, otário.", "Que babaca, burro de merda.", "Vai para o inferno, desgraçado, seu lixo.", "Eles são vermes, escória.", "Mandou fotos nua e falava de foder."],
+    "ru": ["Ты идиот и дебил, заткнись.", "Какой же ты урод, сдохни.", "Эта тварь, мразь и сволочь опять тут.", "Все они паразиты и отбросы.", "Она прислала голые фото и хотела трахать."],
+    "ja": ["お前は馬鹿だ、死ね。", "このクズ、黙れ、消えろ。", "アホなゴミは死ねばいい。", "あいつらは害虫だ、殺すべきだ。", "裸の写真とエロい動画を送ってきた。"]
+}
+SOUND_ABROAD = {"de": ["Der Dienst antwortet nicht mehr, und niemand weiß warum.", "Bitte den Bericht bis morgen schicken."], "es": ["El servicio no responde desde ayer.", "Gracias por la ayuda, ya funciona."], "fr": ["Le service ne répond plus depuis hier.", "Merci pour votre aide."], "pt": ["O serviço não responde desde ontem.", "Obrigado pela ajuda."], "ru": ["Сервис не отвечает со вчерашнего дня.", "Спасибо за помощь."], "ja": ["サーバーが昨日から応答しません。", "ありがとうございます、直りました。"]}
+
+
+def test_recall_by_language():
+    """Sentences of six languages without labels, each inside harmless text."""
+    scorer = a.Scorer([(t, k in a.BAD) for t, k in snippets() if k in ("none", *a.BAD)])
+    plain = "The build is fine again after the update of the cache. "
+    rnd = random.Random(5)
+    texts = [t + " " + " ".join(f"word{rnd.choice('abcdefgh')}{rnd.choice('abcdefgh')}" for _ in range(60)) for t, k in snippets() if k == "none"]
+    (batch,) = a.counted(iter([pa.record_batch([pa.array(texts)], names=["text"])]), scorer)
+    corpus = [0] * (len(scorer.vocabulary) + 1)
+    for i, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
+        corpus[i] = n
+    scorer.fit(np.array(corpus[:-1]), corpus[-1])
+
+    def passages(text):
+        (out,) = a.rated(iter([pa.record_batch([pa.array([1]), pa.array([text])], names=["id", "text"])]), scorer)
+        return out["passages"][0].as_py()
+
+    for lang, said in ABUSE.items():
+        assert sum(passages(plain + x + " " + plain) > 0 for x in said) >= 0.8 * len(said), lang
+        assert not any(passages(plain + x) for x in SOUND_ABROAD[lang]), lang
