@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.shared import materialize
 from sparkloom.functions.text import out_of_scope
 from sparkloom.schema import TO_CONCEPT, Graph
 
@@ -71,17 +72,21 @@ def requiring_section(g: Graph, concepts: DataFrame) -> DataFrame:
 
 
 def ranked_askers(g: Graph, concepts: DataFrame) -> DataFrame:
-    """Askers of each concept, those with a maintainer's and the fullest answer first, as ``questions`` with titles."""
-    asks = of_type(g.edges, "ASKS_ABOUT").join(concepts.select(F.col("concept").alias("dst")), "dst", "left_semi")
-    answered = of_type(g.edges, "ANSWERED_BY").select(F.col("src").alias("q"), F.col("dst").alias("answer"))
+    """Askers of each concept, those with a maintainer's and the fullest answer first: all ids, and of the first eight the titles.
+
+    Only ids and their ranks are gathered for a concept; titles and evidence are joined to the eight that are shown.
+    """
+    asks = of_type(g.edges, "ASKS_ABOUT").join(concepts.select(F.col("concept").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("concept"), F.col("src").alias("q"), F.col("id").alias("ask"), "evidence")
+    asked = asks.select("q").distinct()
+    answered = of_type(g.edges, "ANSWERED_BY").select(F.col("src").alias("q"), F.col("dst").alias("answer")).join(asked, "q", "left_semi")
     weight = g.answers.select(F.col("id").alias("answer"), F.coalesce(F.col("is_maintainer").cast("int"), F.lit(0)).alias("m"), F.coalesce(F.length("body"), F.lit(0)).alias("size"))
-    rows = (
-        asks.select(F.col("dst").alias("concept"), F.col("src").alias("q"), F.col("id").alias("ask"), "evidence")
-        .join(answered, "q", "left").join(weight, "answer", "left").join(g.questions.select(F.col("id").alias("q"), "title"), "q", "left")
-    )
-    item = F.struct(-F.coalesce("m", F.lit(0)), -F.coalesce("size", F.lit(0)), F.col("q").alias("q"), F.col("ask").alias("ask"), "evidence", "title")
-    ordered = rows.groupBy("concept").agg(F.array_sort(F.collect_list(item)).alias("askers"))
-    return ordered.select("concept", F.transform("askers", lambda a: a["q"]).alias("questions"), F.transform(F.slice("askers", 1, 8), lambda a: a["title"]).alias("question_titles"), F.col("askers")[0].alias("lead"))
+    place = F.struct(-F.coalesce("m", F.lit(0)), -F.coalesce("size", F.lit(0)), F.col("q").alias("q"))
+    ranked = asks.join(answered.join(weight, "answer"), "q", "left").select("concept", "q", "ask", "evidence", place.alias("place"))
+    every = ranked.groupBy("concept").agg(F.array_sort(F.collect_list("place")).alias("places"), F.min_by(F.struct("q", "ask", "evidence"), "place").alias("lead"))
+    every = every.select("concept", F.transform("places", lambda p: p["q"]).alias("questions"), "lead")
+    shown = every.select("concept", F.posexplode(F.slice("questions", 1, 8)).alias("n", "q")).join(g.questions.select(F.col("id").alias("q"), "title"), "q", "left")
+    titles = shown.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda t: t["title"]).alias("question_titles"))
+    return every.join(titles, "concept")
 
 
 def numbered(rows: DataFrame, prefix: str, *order) -> DataFrame:
@@ -90,10 +95,10 @@ def numbered(rows: DataFrame, prefix: str, *order) -> DataFrame:
 
 
 def near_misses(g: Graph) -> DataFrame:
-    concepts = near_miss_concepts(g)
+    concepts = materialize(near_miss_concepts(g), "concepts")
     chosen, askers = requiring_section(g, concepts), ranked_askers(g, concepts)
     total = g.sections.agg(F.count("*").alias("total"))
-    others = of_type(g.edges, "REQUIRES").groupBy(F.col("dst").alias("concept")).agg(F.collect_set("src").alias("requiring"))
+    others = of_type(g.edges, "REQUIRES").join(concepts.select(F.col("concept").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("concept")).agg(F.collect_set("src").alias("requiring"))
     about = g.sections.select(F.col("id").alias("section"), "heading", "doc_title", "url", F.col("path").alias("section_path"), F.col("lines").alias("section_lines"))
     rows = concepts.join(chosen, "concept").join(askers, "concept").join(others, "concept").join(about, "section", "left").crossJoin(F.broadcast(total))
     proof = F.array(
@@ -110,23 +115,29 @@ def near_misses(g: Graph) -> DataFrame:
     return numbered(made, "F1", F.col("demand").desc(), F.col("requires_count").desc(), "concept")
 
 
-def orphans(g: Graph) -> DataFrame:
-    """Concepts in scope that two or more sections use and none defines, near misses left out."""
-    into = of_type(g.edges, "REQUIRES", "MENTIONS").select(F.col("dst").alias("concept"), "type", "src", "id", "evidence")
-    item = F.struct("type", "src", "id", "evidence")
-    used = into.groupBy("concept").agg(F.array_sort(F.collect_list(item)).alias("uses"), F.array_sort(F.collect_set("src")).alias("sections_referencing"))
-    counts = concept_counts(g.edges).where("defines_count = 0")
-    asked = of_type(g.edges, "ASKS_ABOUT").groupBy(F.col("dst").alias("concept")).agg(F.array_sort(F.collect_set("src")).alias("questions"))
+def orphans(g: Graph, least: int = MIN_SECTIONS) -> DataFrame:
+    """Concepts in scope that two or more sections use and none defines, near misses left out.
+
+    Concepts are chosen by counts; only the edges of the chosen ones are then looked at, the first six in order by rank.
+    """
+    counts = concept_counts(g.edges).where("defines_count = 0 AND requires_count + mentions_count > 0 AND NOT (demand > 0 AND requires_count > 0)")
     named = g.concepts.select(F.col("id").alias("concept"), "label", "kind").where(~out_of_scope(F.col("label")))
-    rows = counts.join(named, "concept").join(near_miss_concepts(g).select("concept"), "concept", "left_anti").join(used.where(F.size("sections_referencing") >= MIN_SECTIONS), "concept").join(asked, "concept", "left")
+    chosen = materialize(counts.join(named, "concept"), "concepts")
+    mine = lambda *types: of_type(g.edges, *types).join(chosen.select(F.col("concept").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("concept"), "type", "src", "id", "evidence")
+    into = mine("REQUIRES", "MENTIONS")
+    used = into.groupBy("concept").agg(F.array_sort(F.collect_set("src")).alias("sections_referencing"), F.count("*").alias("in_edges_total")).where(F.size("sections_referencing") >= least)
+    first = into.withColumn("r", F.row_number().over(W.partitionBy("concept").orderBy("type", "src"))).where("r <= 6")
+    proof = first.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("r", "type", "src", "id", "evidence"))).alias("uses"))
+    asked = mine("ASKS_ABOUT").groupBy("concept").agg(F.array_sort(F.collect_set("src")).alias("questions"))
+    rows = chosen.join(used, "concept").join(proof, "concept").join(asked, "concept", "left")
     about = g.sections.select(F.col("id").alias("section"), F.col("heading").alias("section_heading"), "doc_title", F.col("url").alias("doc_url"))
     total = g.sections.agg(F.count("*").alias("total"))
     rows = rows.withColumn("section", F.col("uses")[0]["src"]).join(about, "section", "left").crossJoin(F.broadcast(total))
-    steps = F.transform(F.slice("uses", 1, 6), lambda e: hop(F.concat(F.lit("Section "), e["type"], F.lit(" Concept")), e["id"], e["src"], F.col("concept"), evidence(e["evidence"])))
+    steps = F.transform("uses", lambda e: hop(F.concat(F.lit("Section "), e["type"], F.lit(" Concept")), e["id"], e["src"], F.col("concept"), evidence(e["evidence"])))
     made = rows.select(
         F.lit("orphan_concept").alias("type"), "demand", "concept", F.col("label").alias("concept_label"), F.col("kind").alias("concept_kind"), "section", "section_heading", "doc_title", "doc_url",
         F.array_append(steps, hop("no Section DEFINES Concept", checked=F.col("total"), found=F.lit(0))).alias("proof_path"), "sections_referencing", "requires_count", "mentions_count",
-        F.coalesce("questions", F.array().cast("array<string>")).alias("questions"), F.size("uses").cast("bigint").alias("in_edges_total"), (~F.col("in_prose")).alias("code_samples_only"),
+        F.coalesce("questions", F.array().cast("array<string>")).alias("questions"), "in_edges_total", (~F.col("in_prose")).alias("code_samples_only"),
     )
     return numbered(made, "F2", F.col("demand").desc(), F.col("in_edges_total").desc(), "concept")
 
@@ -156,10 +167,13 @@ def competing(edges: DataFrame) -> DataFrame:
     return five.withColumn("among", F.count("*").over(q)).where("among > 1").drop("best", "among")
 
 
-def collisions(g: Graph, similarity: DataFrame) -> DataFrame:
-    """Pairs of sections that look equally on topic to a question while only one matches its answer."""
+def collisions(g: Graph, similarity: DataFrame, rivals: DataFrame | None = None) -> DataFrame:
+    """Pairs of sections that look equally on topic to a question while only one matches its answer.
+
+    ``rivals``: ``competing(g.edges)`` where it was worked out before.
+    """
     q = W.partitionBy("question")
-    rows = competing(g.edges).join(similarity.select(F.col("question_id").alias("question"), F.col("section_id").alias("section"), "sim"), ["question", "section"], "left")
+    rows = (competing(g.edges) if rivals is None else rivals).join(similarity.select(F.col("question_id").alias("question"), F.col("section_id").alias("section"), "sim"), ["question", "section"], "left")
     rows = rows.withColumn("unknown", F.bool_or(F.col("sim").isNull()).over(q)).where("NOT unknown")
     rows = rows.withColumn("h", F.row_number().over(q.orderBy(F.col("sim").desc(), "place")))
     rows = rows.withColumn("r", F.row_number().over(q.orderBy((F.col("h") == 1).cast("int"), F.col("overlap").desc(), "sim", "place")))
@@ -179,5 +193,31 @@ def collisions(g: Graph, similarity: DataFrame) -> DataFrame:
     return numbered(made, "F3", F.col("demand").desc(), "section", "sample_question", "holder_section")
 
 
-def findings(g: Graph, similarity: DataFrame) -> DataFrame:
-    return near_misses(g).unionByName(orphans(g), allowMissingColumns=True).unionByName(collisions(g, similarity), allowMissingColumns=True)
+def findings(g: Graph, similarity: DataFrame, rivals: DataFrame | None = None) -> DataFrame:
+    return near_misses(g).unionByName(orphans(g), allowMissingColumns=True).unionByName(collisions(g, similarity, rivals), allowMissingColumns=True)
+
+
+def malformed(found: DataFrame) -> DataFrame:
+    """Findings without a proof or with an id that is no ``F<n>-<number>`` of their type or not their own; must be empty."""
+    own = F.create_map(*[F.lit(x) for kv in (("near_miss", "F1"), ("orphan_concept", "F2"), ("retrieval_collision", "F3")) for x in kv])
+    times = found.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id", F.lit(True).alias("repeated"))
+    right = F.col("id").rlike(r"^F[123]-\d{4,}$") & (F.substring("id", 1, 2) == F.try_element_at(own, F.col("type"))) & (F.col("demand") >= 0)
+    proven = (F.size("proof_path") > 0) | (F.col("type") == "retrieval_collision")
+    return found.join(times, "id", "left").where(~F.coalesce(right & proven, F.lit(False)) | F.col("repeated")).select("id", "type")
+
+
+def defined_near_misses(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Near misses whose concept some section defines; must be empty."""
+    return found.where("type = 'near_miss'").join(of_type(edges, "DEFINES").select(F.col("dst").alias("concept")), "concept", "left_semi").select("id", "concept")
+
+
+def unshown(found: DataFrame, payload: DataFrame) -> DataFrame:
+    """Ids that stand in the findings or in the payload but not in both; must be empty."""
+    a, b = found.select("id", F.lit(True).alias("found")), payload.select("id", F.lit(True).alias("shown"))
+    return a.join(b, "id", "full").where("found IS NULL OR shown IS NULL").select("id")
+
+
+def dashes(rows: DataFrame, *columns: str) -> DataFrame:
+    """``id, column`` of texts a reader sees that hold an en or em dash."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]))
+    return rows.select("id", each.alias("e")).where(F.col("e.text").rlike("[\u2013\u2014]")).select("id", "e.column")
\ No newline at end of file

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.shared import materialize
-from sparkloom.functions.text import link_targets, resolve_link
+from sparkloom.functions.text import link_targets, resolve_link, strip_markers
 from sparkloom.operators.findings import concept_counts, of_type
 from sparkloom.schema import ENDS, EVIDENCE, TO_CONCEPT, Graph
 
@@ -45,15 +45,19 @@ def answer_edges(questions: DataFrame, answers: DataFrame, marker: str = "## Acc
     return structural(both, "ANSWERED_BY", F.col("id"), F.col("answer"), F.split("raw", "\n")[line - 1], F.concat(F.lit("discussions/"), F.col("number"), F.lit(".md")), line, line)
 
 
-def with_ids(edges: DataFrame, parts: int | None = None) -> DataFrame:
-    """Dense ids in the order of type, source, target, without a single-task window: sorted parts, then an offset for each."""
-    spread = edges.repartitionByRange(parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type", "src", "dst").sortWithinPartitions("type", "src", "dst")
+def in_order(rows: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+    """Adds ``ordinal``, dense from 1 in the order of the given columns, without a single-task window: sorted parts, then an offset for each."""
+    spread = rows.repartitionByRange(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     # written once: a second run could cut the ranges elsewhere
-    marked = materialize(spread.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)}), "edges")
+    marked = materialize(spread.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % (1 << 33)}), "ordered")
     sizes = marked.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("_before", F.sum("n").over(W.orderBy("_part")) - F.col("n")).select("_part", "_before")
-    numbered = marked.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_before") + F.col("_at") + 1)
-    return numbered.select(F.format_string("e:%05d", "ordinal").alias("id"), "ordinal", *EDGE)
+    before = sizes.withColumn("_before", F.sum("n").over(W.orderBy("_part")) - F.col("n")).select("_part", "_before")  # a row for each part
+    return marked.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def with_ids(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Dense ids in the order of type, source, target."""
+    return in_order(edges.select(*EDGE), "type", "src", "dst", parts=parts).select(F.format_string("e:%05d", "ordinal").alias("id"), "ordinal", *EDGE)
 
 
 def replace_type(edges: DataFrame, type_: str, new: DataFrame) -> DataFrame:
@@ -129,9 +133,46 @@ def double_relations(edges: DataFrame) -> DataFrame:
     return kinds.where("d AND n > 1").select("src", "dst")
 
 
-def misplaced_spans(edges: DataFrame, sections: DataFrame) -> DataFrame:
-    """Edges whose span does not stand in the lines it cites, by plain comparison of single-spaced lower case."""
-    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    cited = edges.where(F.col("src").startswith("sec:")).select("id", "src", "evidence").join(sections.select(F.col("id").alias("src"), "text", "path", F.col("lines.start").alias("first")), "src").where("evidence.path = path")
-    window = F.array_join(F.slice(F.split("text", "\n"), F.greatest(F.col("evidence.lines.start") - F.col("first") + 1, F.lit(1)), F.greatest(F.col("evidence.lines.end") - F.col("evidence.lines.start") + 1, F.lit(1))), " ")
-    return cited.where(~flat(window).contains(flat(F.col("evidence.span")))).select("id", "src")
+def cited_texts(sections: DataFrame, threads: DataFrame | None = None) -> DataFrame:
+    """``path, first, text`` of what edges cite: sections by their page, their code samples, and rendered threads ``(number, raw)``."""
+    own = sections.select("path", F.col("lines.start").alias("first"), "text")
+    code = sections.select(F.explode("code").alias("c")).select("c.path", F.col("c.lines.start").alias("first"), "c.text")
+    held = own.unionByName(code)
+    if threads is not None:
+        held = held.unionByName(threads.select(F.concat(F.lit("discussions/"), F.col("number"), F.lit(".md")).alias("path"), F.lit(1).alias("first"), F.col("raw").alias("text")))
+    return held.dropDuplicates(["path", "first", "text"])
+
+
+def flat(c: Column) -> Column:
+    """Single-spaced lower case."""
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+
+
+def holds(text: Column, span: Column) -> Column:
+    """Whether a text holds a span, as it is or without markdown marks on both."""
+    return text.contains(span) | strip_markers(text).contains(strip_markers(span))
+
+
+def lost_spans(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges whose span stands in no text of the path it cites; must be empty. ``texts``: ``path, first, text``."""
+    cited = edges.select("id", F.col("evidence.path").alias("path"), flat(F.col("evidence.span")).alias("span"))
+    found = cited.join(texts.select("path", flat(F.col("text")).alias("text")), "path").where(holds(F.col("text"), F.col("span"))).select("id").distinct()
+    return cited.select("id", "path").distinct().join(found, "id", "left_anti")
+
+
+def misplaced_spans(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges whose span does not stand in the lines it cites; must be empty. ``texts``: ``path, first, text``."""
+    cited = edges.select("id", "src", F.col("evidence.path").alias("path"), F.col("evidence.lines.start").alias("lo"), F.col("evidence.lines.end").alias("hi"), flat(F.col("evidence.span")).alias("span"))
+    lines = texts.select("path", "first", F.split("text", "\n").alias("all"))
+    at = cited.join(lines, "path").where((F.col("lo") >= F.col("first")) & (F.col("hi") < F.col("first") + F.size("all")) & (F.col("hi") >= F.col("lo")))
+    window = F.array_join(F.slice("all", F.col("lo") - F.col("first") + 1, F.col("hi") - F.col("lo") + 1), " ")
+    right = at.where(holds(flat(window), F.col("span"))).select("id").distinct()
+    return cited.select("id", "src").distinct().join(right, "id", "left_anti")
+
+
+def aliased(path: Column, roots: dict[str, str]) -> Column:
+    """A path under the first of the given roots it begins with, put under that root's place."""
+    made = path
+    for root, place in reversed(roots.items()):
+        made = F.when(path.startswith(root), F.concat(F.lit(place), F.substr(path, F.lit(len(root) + 1)))).otherwise(made)
+    return made

@@ -5,13 +5,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import MIN_SPAN, clean_label, concept_id, locate, normalize, trimmed
+from pyspark.sql.types import IntegerType, StringType, StructType
+
+from sparkloom.functions.text import MIN_SPAN, clean_label, concept_id, locate, normalize, normalized, place, trimmed
 from sparkloom.schema import TO_CONCEPT
 
+AT = StructType().add("k", IntegerType()).add("path", StringType()).add("lines", StructType().add("start", IntegerType()).add("end", IntegerType()))
 #: In order of precedence.
 REASONS = ("unknown_section", "bad_type", "short_span", "heading_only", "span_not_found", "duplicate")
 SCHEMA = "map<string,struct<concepts:array<struct<label:string,kind:string,aliases:array<string>>>,edges:array<struct<type:string,concept:string,span:string,confidence:string>>>>"
@@ -28,14 +32,29 @@ def confidence(said: Column) -> Column:
     return F.when(low.isin("high", "medium", "low"), low).otherwise("medium")
 
 
+@F.pandas_udf(AT)
+def first_place(spans: pd.Series, tried: pd.Series) -> pd.DataFrame:
+    """The first of several texts that holds the span: its number, its path and the lines."""
+    rows = []
+    for span, texts in zip(spans, tried, strict=True):
+        hit = None
+        for k, t in enumerate(texts if span is not None and texts is not None else ()):
+            if t["text"] is not None and (lines := place(span, t["text"], int(t["first"]), normalized)):
+                hit = (k, t["path"], {"start": lines[0], "end": lines[1]})
+                break
+        rows.append(hit or (None, None, None))
+    return pd.DataFrame(rows, columns=["k", "path", "lines"]).astype({"k": "Int32"})
+
+
 def placed(rows: DataFrame) -> DataFrame:
-    """Adds ``at``: where the span stands in the section's text, else in the first code sample that has it."""
-    tried = F.concat(F.array(F.struct(F.col("text").alias("text"), F.col("path").alias("path"), F.col("lines.start").alias("first"))), F.coalesce(F.transform("code", lambda c: F.struct(c["text"].alias("text"), c["path"].alias("path"), c["lines"]["start"].alias("first"))), F.array()))
-    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode(tried).alias("k", "t"))
-    found = each.withColumn("w", locate(F.col("span"), F.col("t.text"), F.col("t.first"), F.lit(False)))
-    hit = F.when(F.col("w.start").isNotNull(), F.struct("k", F.col("t.path").alias("path"), F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end")).alias("lines")))
-    keep = [c for c in rows.columns if c not in ("text", "code")]
-    return found.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.min(hit).alias("at")).drop("_row")
+    """Adds ``at``: where the span stands in the section's text, else in the first code sample that has it; null where nowhere.
+
+    A section's texts go to one function as they are, so no row is multiplied and nothing is shuffled.
+    """
+    own = F.array(F.struct(F.col("text").alias("text"), F.col("path").alias("path"), F.col("lines.start").alias("first")))
+    code = F.coalesce(F.transform("code", lambda c: F.struct(c["text"].alias("text"), c["path"].alias("path"), c["lines"]["start"].alias("first"))), F.array())
+    found = rows.withColumn("at", first_place(F.col("span"), F.concat(own, code)))
+    return found.withColumn("at", F.when(F.col("at.lines").isNotNull(), F.col("at"))).drop("text", "code")
 
 
 def judged(proposals: DataFrame, sections: DataFrame) -> DataFrame:
@@ -70,6 +89,22 @@ def ledger(judged_rows: DataFrame) -> DataFrame:
     return judged_rows.agg(F.count_if(F.coalesce(F.col("drop_reason") != "unknown_section", F.lit(True))).alias("proposed"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), *n)
 
 
+def not_found(judged_rows: DataFrame, most: int = 40) -> DataFrame:
+    """The first spans that stand nowhere, as a report shows them: ``batch_id, section_id, pos, concept_id, span``."""
+    return judged_rows.where("drop_reason = 'span_not_found'").select("batch_id", "section_id", "pos", "concept_id", "span").orderBy("batch_id", "section_id", "pos").limit(most)
+
+
+def broken_ledger(ledger_row: DataFrame) -> DataFrame:
+    """The ledger where what was dropped is not what is missing; must be empty."""
+    inside = [F.col(f"dropped_{r}") for r in REASONS if r != "unknown_section"]
+    return ledger_row.where(F.col("proposed") - F.col("kept") != sum(inside[1:], inside[0]))
+
+
+def sweep_landed(edges: DataFrame) -> DataFrame:
+    """How many definitions of the graph came from the sweep."""
+    return edges.agg(F.count_if(F.col("extractor") == "definition-sweep").alias("landed"))
+
+
 def voted_concepts(named: DataFrame) -> DataFrame:
     """Concepts from ``named(concept_id, label, kind, ordinal)``: the kind and label with the most votes.
 

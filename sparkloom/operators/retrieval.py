@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.stats import dot, mcnemar, rate
+from sparkloom.functions.stats import mcnemar, rate
+from sparkloom.functions.text import trimmed
 from sparkloom.operators.findings import of_type
 
-TOP_K, SEED_SLOTS, BROADCAST_VECTORS = 5, 3, 200_000
+TOP_K, SEED_SLOTS, BLOCK_BYTES = 5, 3, 64 << 20
+
+
+def best_of(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best items of each query in each batch, by one matrix product; ties go to the lower item id."""
+    for batch in batches:
+        kept = batch.filter(pc.is_valid(batch.column(1)))
+        if not kept.num_rows:
+            continue
+        flat = kept.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        items = kept.column(0)
+        order = pc.sort_indices(items)  # equal scores then come in the order of ids
+        score = vectors @ flat.reshape(kept.num_rows, -1)[order.to_numpy()].T
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, top.shape[1])), items.take(order).take(pa.array(top.ravel())), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query_id", "item_id", "score"]
+        )
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
     """``query_id, item_id, score, rank``: the ``k`` best inner products; ties go to the lower item id.
 
-    ``queries (query_id, vector)`` is a stated set: it is sent to every task if counted to be
-    small, else in blocks; every item meets every query and ``k`` per task and query go on.
+    ``queries (query_id, vector)`` is a stated set: it is sent to every task in blocks of
+    counted bytes; every item meets every query, by one matrix product for a batch of items,
+    and ``k`` for each batch and query go on. Items without a vector are left out.
     """
-    size = queries.count()
-    blocks = max(1, -(-size // BROADCAST_VECTORS))
+    known = queries.where("vector IS NOT NULL")
+    size, width = known.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-(size * 8 * (width or 1)) // BLOCK_BYTES))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
     made = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(part)).select("query_id", "item_id", dot(F.col("vector"), F.col("item_vector")).alias("score"))
+        part = known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        sent = queries.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), np.array(part["vector"].to_pylist(), np.float64)))
+        scored = vectors.select("item_id", "item_vector").mapInArrow(lambda it, s=sent: best_of(it, *s.value, k), kinds)
         made = scored if made is None else made.unionByName(scored)
+    if made is None:
+        made = queries.sparkSession.createDataFrame([], kinds)
     ranked = made.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")))
     return ranked.where(F.col("rank") <= k)
 
@@ -86,6 +116,20 @@ def retrieval_overlap(vector: DataFrame, graph: DataFrame) -> DataFrame:
     )
 
 
+def generated(replies: DataFrame) -> DataFrame:
+    """``question_id, answer`` of ``replies(question_id, reply)``: a text, or an object with an ``answer``; blank ones are left out."""
+    said = F.coalesce(F.get_json_object("reply", "$.answer"), F.when(F.try_parse_json("reply").isNull() | ~F.trim("reply").startswith("{"), F.col("reply")))
+    return replies.select("question_id", trimmed(said).alias("answer")).where("answer <> ''")
+
+
+def scorable(questions: DataFrame, *answered: DataFrame) -> DataFrame:
+    """Questions answered by at least one way."""
+    some = answered[0].select("question_id")
+    for a in answered[1:]:
+        some = some.unionByName(a.select("question_id"))
+    return questions.join(some.distinct(), "question_id", "left_semi")
+
+
 def compare(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: verdict counts and rates of both ways, the paired counts and exact tests.
 

@@ -6,13 +6,19 @@ that knows whether a fence is open; sections, titles and anchors are windows ove
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from sparkloom.functions.text import anchor_of, display_heading, fold_path, page_url, slugify
 
-INCLUDE = r"\{\*\s*(\S+?)(?:\s+([^*]*?))?\s*\*\}"
+#: An include mark: braces with stars inside them around a path, then options up to the closing star.
+INCLUDE = r"\{\*[ \t]*([^\s*]+)([^*]*)\*\}"
+SPAN = r"\bln\[[ ]*([0-9]+)[ ]*:[ ]*([0-9]+)[ ]*\]"
 
 
 def lines_of(text: Column) -> Column:
@@ -40,6 +46,27 @@ def heading_lines(lines: Column) -> Column:
     return F.aggregate(kept, start, step, lambda s: s["at"])
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def anchors(slugs: pd.Series) -> pd.Series:
+    """Of a page's slugs, in order, an anchor each, no two alike: a repeat gets the first number from 2 that makes it new."""
+
+    def distinct(page: list[str]) -> list[str]:
+        taken, times, out = set(page), Counter(), []
+        for slug in page:
+            times[slug] += 1
+            name = slug
+            if times[slug] > 1:
+                n = times[slug]
+                while (name := f"{slug}-{n}") in taken:
+                    n += 1
+                times[slug] = n
+                taken.add(name)
+            out.append(name)
+        return out
+
+    return slugs.map(distinct)
+
+
 def split_pages(pages: DataFrame, root: str = "docs", base: str = "") -> DataFrame:
     """Sections of all pages: a heading owns the lines up to the next one; a page without headings is one section."""
     page = pages.select("path", lines_of(F.col("text")).alias("all")).withColumn("at", heading_lines(F.col("all")))
@@ -54,8 +81,9 @@ def split_pages(pages: DataFrame, root: str = "docs", base: str = "") -> DataFra
     one = F.first(F.when(F.col("headed") & (F.col("level") == 1), F.col("heading")), True).over(W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     cut = cut.withColumn("doc_title", F.coalesce(one, named)).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     slug = F.when(F.col("headed"), F.coalesce(anchor_of(F.col("raw")), slugify(F.col("heading")))).otherwise(slugify(F.col("heading")))
-    cut = cut.withColumn("slug", slug).withColumn("nth", F.row_number().over(W.partitionBy("path", "slug").orderBy("start")))
-    cut = cut.withColumn("anchor", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("nth"))))
+    cut = cut.withColumn("slug", slug).withColumn("place", F.row_number().over(W.partitionBy("path").orderBy("start")))
+    named = F.array_sort(F.collect_list(F.struct("place", "slug")).over(W.partitionBy("path")))
+    cut = cut.withColumn("anchor", F.element_at(anchors(F.transform(named, lambda x: x["slug"])), F.col("place").cast("int")))
     url = page_url(F.col("path"), base)
     return cut.select(
         F.concat(F.lit("sec:"), "stem", F.lit("#"), "anchor").alias("id"), F.concat(F.lit("doc:"), "stem").alias("doc_id"), "doc_title", "heading", F.col("level").cast("int").alias("level"), F.concat(F.lit(f"{root}/"), "path").alias("path"),
@@ -71,7 +99,7 @@ def with_code(sections: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``code`` and ``embed_text``: the slices of ``files(path, text)`` that the section's include marks name, in order."""
     marks = F.regexp_extract_all("text", F.lit(INCLUDE), F.lit(0))
     each = sections.where(F.col("text").contains("{*")).select("id", F.posexplode(marks).alias("k", "mark"))
-    each = each.select("id", "k", fold_path(F.regexp_extract("mark", INCLUDE, 1)).alias("file"), F.regexp_extract("mark", r"ln\[(\d+):(\d+)\]", 1).alias("a"), F.regexp_extract("mark", r"ln\[(\d+):(\d+)\]", 2).alias("b"))
+    each = each.select("id", "k", fold_path(F.regexp_extract("mark", INCLUDE, 1)).alias("file"), F.regexp_extract("mark", SPAN, 1).alias("a"), F.regexp_extract("mark", SPAN, 2).alias("b"))
     held = files.select(F.col("path").alias("file"), lines_of(F.col("text")).alias("all"))
     lo = F.greatest(F.coalesce(F.try_to_number("a", F.lit("999999999")).cast("int"), F.lit(1)), F.lit(1))
     hi = F.least(F.coalesce(F.try_to_number("b", F.lit("999999999")).cast("int"), F.size("all")), F.size("all"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.stats import rate, wilson
+from sparkloom.operators.graph import in_order
 
 CENSUS, SEED, FLOOR = 50, 20260906, 0.70
 
@@ -17,11 +18,9 @@ def sample(findings: DataFrame, key: str = "id", most: int = CENSUS, seed: int =
     total = findings.count()
     if total <= most:
         return findings
-    chosen = sorted(random.Random(seed).sample(range(total), most))
-    spots = findings.sparkSession.createDataFrame([(c,) for c in chosen], "at bigint")
-    ordered = findings.select(key).orderBy(key).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    placed = findings.sparkSession.createDataFrame(ordered, f"{key} string, at bigint")
-    return findings.join(placed.join(F.broadcast(spots), "at", "left_semi").select(key), key, "left_semi")
+    chosen = sorted(random.Random(seed).sample(range(1, total + 1), most))
+    placed = in_order(findings.select(key), key).where(F.col("ordinal").isin(chosen))
+    return findings.join(F.broadcast(placed.select(key)), key, "left_semi")
 
 
 def majorities(ballots: DataFrame) -> DataFrame:
@@ -58,6 +57,17 @@ def described(findings: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.withColumn("confirming_answer", answer).drop("excerpt").fillna("", ["missing", "gap_note"])
 
 
+def inconsistent(summary_rows: DataFrame) -> DataFrame:
+    """Summaries whose parts do not make the whole, or whose interval does not hold the rate; must be empty."""
+    whole = F.col("n") == F.col("valid") + F.col("invalid")
+    return summary_rows.where(~(whole & (F.col("low") <= F.col("rate")) & (F.col("rate") <= F.col("high"))))
+
+
+def too_few_readers(outside: DataFrame, least: int = 3) -> DataFrame:
+    """Boundary verdicts ``id, readers, votes_outside, outside`` with too few readers or against their majority; must be empty."""
+    return outside.where((F.col("readers") < least) | (F.col("outside") != (F.col("votes_outside") * 2 > F.col("readers")))).select("id")
+
+
 def boundary(findings: DataFrame, outside: DataFrame) -> DataFrame:
     """Counts of validated against found outside the corpus, by a strict majority of readers."""
     o = outside.select("id", (F.col("votes_outside") * 2 > F.col("readers")).alias("outside"))

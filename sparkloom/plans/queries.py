@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import stats, text
+from sparkloom.functions.shared import materialize
 from sparkloom.operators import batches, explorer, findings, graph, proposals, retrieval, sections, validation
 from sparkloom.plans import pipeline
 from sparkloom.schema import ENDS, TO_CONCEPT, Graph
@@ -81,7 +82,7 @@ SELECT 'F1-' || lpad(CAST(row_number() OVER (ORDER BY nm.demand DESC, nm.require
   nm.mentions_count, nm.requires_count, coalesce(req.ek, 'prose') AS requires_evidence_kind, NOT nm.in_prose AS code_samples_only, (SELECT count(*) FROM s) AS sections_checked
 FROM nm JOIN req ON req.concept = nm.concept AND req.rn = 1 JOIN askers ON askers.concept = nm.concept""")
 def f1_near_miss(spark, d):
-    f = findings.near_misses(Graph.read(spark, d))
+    f = findings.near_misses(Graph.read(spark, d).written())
     return f.select(
         "id", "demand", "concept", "concept_label", "concept_kind", "section", F.col("proof_path")[1]["edge"].alias("requires_edge"), F.array_join("questions", ",").alias("questions"), F.array_join("shared_concepts", ",").alias("shared_concepts"),
         F.size("other_requiring_sections").cast("bigint").alias("other_sections"), "mentions_count", "requires_count", "requires_evidence_kind", "code_samples_only", F.col("proof_path")[2]["sections_checked"].alias("sections_checked"),
@@ -94,7 +95,7 @@ SELECT 'F2-' || lpad(CAST(row_number() OVER (ORDER BY cc.demand DESC, u.n DESC,
   u.sections AS sections_referencing, cc.requires_count, cc.mentions_count, u.n AS in_edges_total, NOT cc.in_prose AS code_samples_only
 FROM cc JOIN scope ON scope.id = cc.concept JOIN u ON u.concept = cc.concept LEFT JOIN s ON s.id = u.section WHERE cc.defines_count = 0 AND u.sections >= 2 AND cc.concept NOT IN (SELECT concept FROM nm)""")
 def f2_orphan(spark, d):
-    f = findings.orphans(Graph.read(spark, d))
+    f = findings.orphans(Graph.read(spark, d).written())
     steps = F.filter(F.transform("proof_path", lambda p: p["edge"]), lambda x: x.isNotNull())
     return f.select("id", "demand", "concept", "section", "section_heading", F.array_join(steps, ",").alias("proof_edges"), F.size("sections_referencing").cast("bigint").alias("sections_referencing"), "requires_count", "mentions_count", "in_edges_total", "code_samples_only")
 
@@ -132,30 +133,32 @@ g AS (SELECT least(hs, rs) AS lo, greatest(hs, rs) AS hi, min(question) AS sampl
 SELECT 'F3-' || lpad(CAST(row_number() OVER (ORDER BY g.demand DESC, p.rs, g.sample_question, p.hs) AS VARCHAR), 4, '0') AS id, g.demand, p.rs AS section, p.hs AS holder_section, round(p.hsim, 4) AS holder_similarity, round(p.rsim, 4) AS rival_similarity, p.ho AS holder_overlap, p.ro AS rival_overlap, g.sample_question
 FROM g JOIN p ON p.question = g.sample_question AND least(p.hs, p.rs) = g.lo AND greatest(p.hs, p.rs) = g.hi""")
 def f3_collision(spark, d):
-    g = Graph.read(spark, d)
-    f = findings.collisions(g, answer_similarity(g, findings.competing(g.edges).select("question", "section")))
+    g = Graph.read(spark, d).written()
+    rivals = materialize(findings.competing(g.edges), "competing")
+    f = findings.collisions(g, answer_similarity(g, rivals.select("question", "section")), rivals)
     long = lambda c: F.col(c).cast("bigint").alias(c)
     return f.select("id", "demand", "section", "holder_section", "holder_similarity", "rival_similarity", long("holder_overlap"), long("rival_overlap"), "sample_question")
 
 
-def all_findings(spark, d) -> DataFrame:
-    g = Graph.read(spark, d)
-    return findings.findings(g, answer_similarity(g, findings.competing(g.edges).select("question", "section")))
+def all_findings(g: Graph) -> DataFrame:
+    rivals = materialize(findings.competing(g.edges), "competing")
+    return findings.findings(g, answer_similarity(g, rivals.select("question", "section")), rivals)
 
 
 @query()
 def o1_all_findings(spark, d):
-    return all_findings(spark, d).select("type", "id", "demand", "concept", "section")
+    return all_findings(Graph.read(spark, d).written()).select("type", "id", "demand", "concept", "section")
 
 
 @query()
 def m1_manifest(spark, d):
-    return pipeline.manifest(Graph.read(spark, d), all_findings(spark, d))
+    g = Graph.read(spark, d).written()
+    return pipeline.manifest(g, all_findings(g))
 
 
 @query()
 def a18_threads_reached(spark, d):
-    return pipeline.reached(all_findings(spark, d))
+    return pipeline.reached(all_findings(Graph.read(spark, d).written()))
 
 
 # ---- retrieval -----------------------------------------------------------------------------
@@ -180,7 +183,7 @@ hop AS (SELECT t.question, g.src AS section, count(*) AS score FROM sr t JOIN e
 
 @query(HOPS + " SELECT * FROM hop")
 def a15_hop_scores(spark, d):
-    e = Graph.read(spark, d).edges
+    e = Graph.read(spark, d).written().edges
     best = W.partitionBy("question").orderBy(F.col("score").desc(), "section")
     return retrieval.hops(e, retrieval.seeds(e).withColumn("rank", F.row_number().over(best)).where("rank <= 3"))
 
@@ -192,7 +195,7 @@ c AS (SELECT *, sum(1 - hop) OVER (PARTITION BY question) AS ns, sum(hop) OVER (
 k AS (SELECT question, section, min(hop * 100 + rank) AS pos FROM c WHERE rank <= CASE WHEN hop = 0 THEN CASE WHEN nh < 2 THEN 5 - nh ELSE 3 END ELSE CASE WHEN nh >= 2 AND ns < 3 THEN 5 - ns ELSE 2 END END GROUP BY ALL)
 SELECT question, array_to_string(list_slice(list(section ORDER BY pos, section), 1, 5), ',') AS sections FROM k GROUP BY question""")
 def r2_graph_retrieval(spark, d):
-    return retrieval.graph_retrieval(Graph.read(spark, d).edges).select("question", F.array_join("sections", ",").alias("sections"))
+    return retrieval.graph_retrieval(Graph.read(spark, d).written().edges).select("question", F.array_join("sections", ",").alias("sections"))
 
 
 @query()
@@ -213,7 +216,7 @@ def r1_vector_top5(spark, d):
 
 @query()
 def a16_retrieval_overlap(spark, d):
-    e = Graph.read(spark, d).edges
+    e = Graph.read(spark, d).written().edges
     best = W.partitionBy("question").orderBy(F.col("overlap").desc(), "section")
     by_overlap = findings.overlaps(e).withColumn("r", F.row_number().over(best)).where("r <= 5").groupBy("question").agg(F.array_sort(F.collect_list("section")).alias("sections"))
     return retrieval.retrieval_overlap(by_overlap, retrieval.graph_retrieval(e))
@@ -342,7 +345,7 @@ def i7_double_relations(spark, d):
 @query()
 def i3_misplaced_spans(spark, d):
     g = Graph.read(spark, d)
-    return graph.misplaced_spans(g.edges, g.sections)
+    return graph.misplaced_spans(g.edges.where(F.col("src").startswith("sec:")), graph.cited_texts(g.sections))
 
 
 @query(f"""WITH {E} SELECT row_number() OVER (ORDER BY type, src, dst) AS ordinal, 'e:' || lpad(CAST(row_number() OVER (ORDER BY type, src, dst) AS VARCHAR), 5, '0') AS id, type, src, dst FROM e""")

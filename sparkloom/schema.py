@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.functions.shared import materialize
+
 LINES = "struct<start:int,end:int>"
 EVIDENCE = f"struct<span:string,path:string,lines:{LINES},kind:string>"
 DOCS = "id string, title string, path string, url string"
@@ -29,6 +31,10 @@ class Graph:
     def __init__(self, docs: DataFrame, sections: DataFrame, concepts: DataFrame, questions: DataFrame, answers: DataFrame, edges: DataFrame) -> None:
         self.docs, self.sections, self.concepts, self.questions, self.answers, self.edges = docs, sections, concepts, questions, answers, edges
 
+    def written(self) -> Graph:
+        """The same graph with its edges, each once, written by type: readers of one type scan that type only, and shuffle nothing to drop repeats."""
+        return Graph(self.docs, self.sections, self.concepts, self.questions, self.answers, materialize(self.edges, "graph", "type").select(*self.edges.columns))
+
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Graph:
         """The graph of a folder of parquet tables, threads taken as the questions."""
