@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,6 +38,33 @@ NM = "nm AS (SELECT cc.*, scope.label, scope.kind FROM cc JOIN scope ON scope.id
 SIM = """tok AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM s),
   atok AS (SELECT DISTINCT question_id AS q, unnest(regexp_extract_all(lower(coalesce(body, '')), '[a-z]{4,}')) AS w FROM a)"""
 
+# Comparison form of a text; texts by lines with the place of each line in the joined form, and the joined form itself.
+NORM = r"lower(trim(regexp_replace(translate({0}, '’‘“”–—', chr(39) || chr(39) || chr(34) || chr(34) || '--'), '\s+', ' ', 'g')))"
+TEXTS = f"""tx AS (SELECT id, 0 AS k, path, lines.start AS first, text FROM s UNION ALL SELECT id, CAST(k AS INT), c.path, c.lines.start, c.text FROM (SELECT id, unnest(code) AS c, generate_subscripts(code, 1) AS k FROM s)),
+ln AS (SELECT id, k, path, first + n - 1 AS no, {NORM.format('line')} AS line FROM (SELECT id, k, path, first, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM tx)),
+lp AS (SELECT *, greatest(0, sum(length(line) + 1) OVER (PARTITION BY id, k ORDER BY no) - length(line) - 2) AS off FROM ln WHERE line <> ''),
+fl AS (SELECT id, k, path, string_agg(line, ' ' ORDER BY no) AS flat FROM lp GROUP BY id, k, path)"""
+RAW = """th AS (SELECT DISTINCT ON (number) * FROM discussions), raw AS (SELECT number, regexp_replace('# ' || coalesce(title, '') || chr(10) || chr(10) || 'Source: ' || coalesce(url, '') || chr(10) || chr(10) || '## Question' || chr(10) || chr(10) || coalesce(body, '') || chr(10)
+|| CASE WHEN answer IS NULL THEN '' ELSE chr(10) || '## Accepted answer by ' || coalesce(answer.author, 'unknown') || chr(10) || chr(10) || coalesce(answer.body, '') || chr(10) END, chr(13) || chr(10) || '?', chr(10), 'g') AS raw FROM th)"""
+# Edges with faults in one of fifty each: a blank span, a missing end, a wrong type, lines beyond the page, a span from elsewhere, and some turned round.
+FAULTY = """fe AS (SELECT id, CASE n WHEN 2 THEN 'USES' ELSE type END AS type, src, CASE n WHEN 1 THEN 'concept:gone' ELSE dst END AS dst, CASE n WHEN 0 THEN ' ' WHEN 4 THEN 'these words stand nowhere at all' ELSE evidence.span END AS span, evidence.path AS path,
+  evidence.lines.start + CASE n WHEN 3 THEN 5000 ELSE 0 END AS lo, evidence.lines."end" + CASE n WHEN 3 THEN 5000 ELSE 0 END AS hi FROM (SELECT *, CAST(regexp_extract(id, '[0-9]+') AS BIGINT) % 50 AS n FROM e)
+  UNION ALL SELECT id || '-back', type, dst, src, evidence.span, evidence.path, evidence.lines.start, evidence.lines."end" FROM e WHERE CAST(regexp_extract(id, '[0-9]+') AS BIGINT) % 50 = 5)"""
+
+
+def number_of(c: str) -> Column:
+    return F.regexp_extract(c, "([0-9]+)", 1).cast("bigint")
+
+
+def faulty(g: Graph) -> Graph:
+    n, e = number_of("id") % 50, F.col("evidence")
+    more = F.when(n == 3, 5000).otherwise(0)
+    lines = F.struct((e["lines"]["start"] + more).cast("int").alias("start"), (e["lines"]["end"] + more).cast("int").alias("end"))
+    proof = F.struct(F.when(n == 0, " ").when(n == 4, "these words stand nowhere at all").otherwise(e["span"]).alias("span"), e["path"].alias("path"), lines.alias("lines"), e["kind"].alias("kind"))
+    bad = g.edges.withColumns({"type": F.when(n == 2, "USES").otherwise(F.col("type")), "dst": F.when(n == 1, "concept:gone").otherwise(F.col("dst")), "evidence": proof})
+    back = g.edges.where(n == 5).withColumns({"id": F.concat("id", F.lit("-back")), "src": F.col("dst"), "dst": F.col("src")})
+    return Graph(g.docs, g.sections, g.concepts, g.questions, g.answers, bad.unionByName(back))
+
 
 def query(sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]):
@@ -145,18 +172,23 @@ def all_findings(g: Graph) -> DataFrame:
     return findings.findings(g, answer_similarity(g, rivals.select("question", "section")), rivals)
 
 
-@query()
+FOUND_ALL = f"""SELECT 'near_miss' AS type, id, demand, concept, section FROM ({SQL['f1_near_miss']}) UNION ALL SELECT 'orphan_concept', id, demand, concept, section FROM ({SQL['f2_orphan']}) UNION ALL SELECT 'retrieval_collision', id, demand, NULL, section FROM ({SQL['f3_collision']})"""
+
+
+@query(FOUND_ALL)
 def o1_all_findings(spark, d):
     return all_findings(Graph.read(spark, d).written()).select("type", "id", "demand", "concept", "section")
 
 
-@query()
 def m1_manifest(spark, d):
     g = Graph.read(spark, d).written()
-    return pipeline.manifest(g, all_findings(g))
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias(c)
+    return pipeline.manifest(g, all_findings(g)).select(said("nodes"), said("edges"), said("findings"), "defined", "required", "orphan", "in_two_sections", "isolated")
 
 
-@query()
+@query(f"""WITH x AS (SELECT 'near_miss' AS type, concept FROM ({SQL['f1_near_miss']}) UNION ALL SELECT 'orphan_concept', concept FROM ({SQL['f2_orphan']})), k AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'ASKS_ABOUT'),
+c AS ({SQL['f3_collision'].split('SELECT ' + chr(39) + 'F3-')[0].replace(chr(10) + 'g AS', chr(10) + 'unused AS')} SELECT DISTINCT question FROM p)
+SELECT type, count(DISTINCT src) AS threads FROM x JOIN k ON k.dst = x.concept GROUP BY type UNION ALL SELECT 'retrieval_collision', count(*) FROM c HAVING count(*) > 0""")
 def a18_threads_reached(spark, d):
     return pipeline.reached(all_findings(Graph.read(spark, d).written()))
 
@@ -198,7 +230,8 @@ def r2_graph_retrieval(spark, d):
     return retrieval.graph_retrieval(Graph.read(spark, d).written().edges).select("question", F.array_join("sections", ",").alias("sections"))
 
 
-@query()
+@query(f"""WITH {E}, k AS (SELECT src AS question, dst AS concept FROM e WHERE type = 'ASKS_ABOUT'), i AS (SELECT dst AS concept, count(*) FILTER (type = 'DEFINES') AS d, count(DISTINCT src) FILTER (type <> 'DEFINES') AS u FROM e WHERE type IN ('DEFINES', 'REQUIRES', 'MENTIONS') GROUP BY dst),
+t AS (SELECT question, k.concept, CASE WHEN coalesce(d, 0) > 0 THEN question || ' ASKS_ABOUT ' || k.concept || ': defined by ' || d || ' section(s)' ELSE question || ' ASKS_ABOUT ' || k.concept || ': no definition, used by ' || coalesce(u, 0) || ' section(s)' END AS step FROM k LEFT JOIN i ON i.concept = k.concept) SELECT question, string_agg(step, chr(10) ORDER BY concept, step) AS steps FROM t GROUP BY question""")
 def r2_traversal_steps(spark, d):
     return retrieval.traversal(Graph.read(spark, d).edges).select("question", F.array_join("steps", "\n").alias("steps"))
 
@@ -214,7 +247,8 @@ def r1_vector_top5(spark, d):
     return retrieval.vector_top_k(*vectors(spark, d)).select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT question, list_sort(list(section)) AS v FROM (SELECT question, section, row_number() OVER (PARTITION BY question ORDER BY overlap DESC, section) AS r FROM ({SQL['j7_concept_overlap']})) WHERE r <= 5 GROUP BY question), g AS (SELECT question, string_split(sections, ',') AS g FROM ({SQL['r2_graph_retrieval']})),
+b AS (SELECT coalesce(v, []) AS v, coalesce(g, []) AS g FROM v FULL JOIN g USING (question)) SELECT count(*) AS questions, count(*) FILTER (len(g) = 0) AS graph_empty, count(*) FILTER (v = list_sort(g)) AS identical, count(*) FILTER (len(list_filter(g, lambda x: NOT list_contains(v, x))) > 0) AS graph_reached_new FROM b""")
 def a16_retrieval_overlap(spark, d):
     e = Graph.read(spark, d).written().edges
     best = W.partitionBy("question").orderBy(F.col("overlap").desc(), "section")
@@ -243,6 +277,33 @@ def c1_comparison(spark, d):
     return c.select("n", "vector_correct", "vector_unscored", "graph_declined", "vector_only", "graph_only", "both", "vector_correct_rate")
 
 
+REPLIES = """rp AS (SELECT 'q:' || number AS question_id, CASE number % 4 WHEN 0 THEN '{"answer": " yes ' || number || ' "}' WHEN 1 THEN '  plain ' || number || chr(10) WHEN 2 THEN '{"answer": " "}' ELSE '{"other": 1}' END AS reply, CASE number % 4 WHEN 0 THEN 'yes ' || number WHEN 1 THEN 'plain ' || number END AS answer FROM q)"""
+
+
+def replies(spark, d) -> DataFrame:
+    """Replies of a model by a rule on thread numbers: objects, texts, blank ones and objects without an answer."""
+    n = F.col("number")
+    made = F.when(n % 4 == 0, F.concat(F.lit('{"answer": " yes '), n, F.lit(' "}'))).when(n % 4 == 1, F.concat(F.lit("  plain "), n, F.lit("\n"))).when(n % 4 == 2, '{"answer": " "}').otherwise('{"other": 1}')
+    return Graph.read(spark, d).questions.select(F.col("id").alias("question_id"), made.alias("reply"))
+
+
+@query(f"WITH {Q}, {REPLIES} SELECT question_id, answer FROM rp WHERE answer IS NOT NULL")
+def pr3_generated_answers(spark, d):
+    return retrieval.generated(replies(spark, d))
+
+
+@query(f"WITH {Q}, {REPLIES} SELECT id AS question_id, number FROM q JOIN rp ON rp.question_id = q.id WHERE answer IS NOT NULL OR number % 6 = 2")
+def pr4_scorable_questions(spark, d):
+    """Questions answered by the replies, or by another way that answers every sixth thread."""
+    q = Graph.read(spark, d).questions.select(F.col("id").alias("question_id"), "number")
+    return retrieval.scorable(q, retrieval.generated(replies(spark, d)), q.where("number % 6 = 2"))
+
+
+@query("WITH t AS (SELECT DISTINCT ON (number) number, title FROM discussions) SELECT number, title, row_number() OVER (ORDER BY number DESC) AS place FROM t")
+def s15_newest_threads(spark, d):
+    return files.newest(rows(spark, d, "discussions").select("number", "title").dropDuplicates(["number"]))
+
+
 @query(f"WITH {Q}, {VERDICTS}, u AS (SELECT 'vector' AS path, coalesce(vector, 'unscored') AS verdict FROM v UNION ALL SELECT 'graph', graph FROM v) SELECT path, verdict, count(*) AS n FROM u GROUP BY ALL")
 def a9_verdict_histogram(spark, d):
     q, v = verdicts(spark, d)
@@ -293,14 +354,23 @@ def a4_sanity(spark, d):
     return graph.sanity(Graph.read(spark, d))
 
 
-@query(f"WITH {E}, {D}, {S}, {Q}, {A}, {NODES} SELECT id, kind FROM n WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
+def said(table: str, key: str) -> str:
+    return f"(SELECT string_agg({key} || '=' || n, ',' ORDER BY {key}) FROM ({table}))"
+
+
+query(f"""SELECT {said(SQL['a2_nodes_by_type'], 'kind')} AS nodes, {said(SQL['a2_edges_by_type'], 'type')} AS edges, {said(f'SELECT type, count(*) AS n FROM ({FOUND_ALL}) GROUP BY type', 'type')} AS findings, x.* FROM ({SQL['a4_sanity']}) x""")(m1_manifest)
+
+
+@query(f"WITH {E}, {D}, {S}, {Q}, {A}, {NODES}, k AS (SELECT * FROM e WHERE type = 'ASKS_ABOUT') SELECT id, kind FROM n WHERE id NOT IN (SELECT src FROM k UNION SELECT dst FROM k)")
 def j15_isolated_nodes(spark, d):
-    return graph.isolated(Graph.read(spark, d))
+    """Nodes that no question's edge touches."""
+    g = Graph.read(spark, d)
+    return graph.isolated(Graph(g.docs, g.sections, g.concepts, g.questions, g.answers, findings.of_type(g.edges, "ASKS_ABOUT")))
 
 
-@query(f"WITH {E}, {D}, {S}, {Q}, {A}, {NODES}, x AS (SELECT id AS edge, src AS missing FROM e UNION ALL SELECT id, dst FROM e) SELECT edge, missing FROM x WHERE missing NOT IN (SELECT id FROM n)")
+@query(f"WITH {E}, {FAULTY}, {D}, {S}, {Q}, {A}, {NODES}, x AS (SELECT id AS edge, src AS missing FROM fe UNION ALL SELECT id, dst FROM fe) SELECT edge, missing FROM x WHERE missing NOT IN (SELECT id FROM n)")
 def j13_dangling_ends(spark, d):
-    return graph.dangling(Graph.read(spark, d))
+    return graph.dangling(faulty(Graph.read(spark, d)))
 
 
 @query(f"WITH {E} SELECT id, label FROM concepts WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e)")
@@ -309,9 +379,9 @@ def j14_used_concepts(spark, d):
     return graph.used_concepts(g.concepts, g.edges).select("id", "label")
 
 
-@query(f"WITH {E} SELECT id, type FROM e WHERE NOT coalesce(length(trim(evidence.span)) > 0 AND length(evidence.path) > 0 AND evidence.lines.start >= 1 AND evidence.lines.start <= evidence.lines.\"end\", false)")
+@query(f"WITH {E}, {FAULTY} SELECT id, type FROM fe WHERE NOT coalesce(length(trim(span)) > 0 AND length(path) > 0 AND lo >= 1 AND lo <= hi, false)")
 def i1_without_evidence(spark, d):
-    return graph.without_evidence(Graph.read(spark, d).edges)
+    return graph.without_evidence(faulty(Graph.read(spark, d)).edges)
 
 
 @query(f"WITH {E} SELECT type, count(DISTINCT split_part(src, ':', 1) || '>' || split_part(dst, ':', 1)) AS pairs FROM e GROUP BY type")
@@ -322,14 +392,14 @@ def a20_end_pairs(spark, d):
 ENDS_SQL = " OR ".join(f"(type = '{t}' AND src LIKE '{a}:%' AND dst LIKE '{b}:%')" for t, (a, b) in ENDS.items())
 
 
-@query(f"WITH {E} SELECT id, type FROM e WHERE NOT ({ENDS_SQL})")
+@query(f"WITH {E}, {FAULTY} SELECT id, type FROM fe WHERE NOT ({ENDS_SQL})")
 def i5_wrong_ends(spark, d):
-    return graph.wrong_ends(Graph.read(spark, d).edges)
+    return graph.wrong_ends(faulty(Graph.read(spark, d)).edges)
 
 
-@query(f"WITH {E} SELECT DISTINCT x.src, x.dst FROM e x JOIN e y ON y.src = x.dst AND y.dst = x.src WHERE x.src < x.dst")
+@query(f"WITH {E}, {FAULTY} SELECT DISTINCT x.src, x.dst FROM fe x JOIN fe y ON y.src = x.dst AND y.dst = x.src WHERE x.src < x.dst")
 def o8_reciprocal_pairs(spark, d):
-    return graph.reciprocal(Graph.read(spark, d).edges)
+    return graph.reciprocal(faulty(Graph.read(spark, d)).edges)
 
 
 @query(f"WITH {E} SELECT src, dst, count(*) AS edges FROM e GROUP BY src, dst HAVING count(*) > 1")
@@ -342,12 +412,82 @@ def i7_double_relations(spark, d):
     return graph.double_relations(Graph.read(spark, d).edges)
 
 
-@query()
+BARE = r"regexp_replace(regexp_replace({0}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[`*_~]', '', 'g')"
+SPACED = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+CITED = f"""ct AS (SELECT path, lines.start AS first, text FROM s UNION SELECT c.path, c.lines.start, c.text FROM (SELECT unnest(code) AS c FROM s)),
+ce AS (SELECT id, src, path, lo, hi, {SPACED.format('span')} AS span FROM fe WHERE src LIKE 'sec:%')"""
+HOLDS = f"(contains(t, span) OR contains({BARE.format('t')}, {BARE.format('span')}))"
+
+
+@query(f"""WITH {E}, {FAULTY}, {S}, {CITED}, w AS (SELECT ce.*, {SPACED.format("array_to_string((string_split(text, chr(10)))[lo - first + 1 : hi - first + 1], ' ')")} AS t FROM ce JOIN ct ON ct.path = ce.path WHERE lo >= first AND hi < first + len(string_split(text, chr(10))) AND hi >= lo)
+SELECT DISTINCT id, src FROM ce WHERE id NOT IN (SELECT id FROM w WHERE {HOLDS})""")
 def i3_misplaced_spans(spark, d):
-    g = Graph.read(spark, d)
+    g = faulty(Graph.read(spark, d))
     return graph.misplaced_spans(g.edges.where(F.col("src").startswith("sec:")), graph.cited_texts(g.sections))
 
 
+@query(f"""WITH {E}, {FAULTY}, {S}, {CITED}, w AS (SELECT ce.*, {SPACED.format('text')} AS t FROM ce JOIN ct ON ct.path = ce.path) SELECT DISTINCT id, path FROM ce WHERE id NOT IN (SELECT id FROM w WHERE {HOLDS})""")
+def i2_lost_spans(spark, d):
+    g = faulty(Graph.read(spark, d))
+    return graph.lost_spans(g.edges.where(F.col("src").startswith("sec:")), graph.cited_texts(g.sections))
+
+
+@query(f"WITH {E} SELECT id, CASE WHEN evidence.path LIKE 'docs/en/%' THEN 'pages/' || substr(evidence.path, 9) WHEN evidence.path LIKE 'data/raw/discussions/%' THEN 'threads/' || substr(evidence.path, 22) ELSE evidence.path END AS path FROM e")
+def i4_aliased_paths(spark, d):
+    return Graph.read(spark, d).edges.select("id", graph.aliased(F.col("evidence.path"), {"docs/en/": "pages/", "data/raw/discussions/": "threads/"}).alias("path"))
+
+
+DOUBTFUL = "x AS (SELECT CASE WHEN rn % 9 = 0 THEN 'F1-1' WHEN rn % 9 = 1 THEN 'F2-' || substr(id, 4) ELSE id END AS id, CASE WHEN rn % 9 = 2 THEN 'other' ELSE type END AS type FROM (SELECT *, row_number() OVER (ORDER BY concept) AS rn FROM (SELECT 'F1-' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 4, '0') AS id, 'near_miss' AS type, id AS concept FROM concepts)))"
+
+
+@query(f"WITH {DOUBTFUL} SELECT id, type FROM x WHERE type <> 'near_miss' OR NOT regexp_full_match(id, 'F1-[0-9]{{4,}}') OR id IN (SELECT id FROM x GROUP BY id HAVING count(*) > 1)")
+def i6_malformed_findings(spark, d):
+    """Findings by a rule on concepts, some with ids that are short, of another type or repeated, or of an unknown type."""
+    rn = F.row_number().over(W.orderBy("id"))
+    f = rows(spark, d, "concepts").select(F.format_string("F1-%04d", rn).alias("id"), F.lit("near_miss").alias("type"), F.lit(1).alias("demand"), F.array(F.lit("x")).alias("proof_path"), rn.alias("rn"))
+    name = F.when(F.col("rn") % 9 == 0, "F1-1").when(F.col("rn") % 9 == 1, F.concat(F.lit("F2-"), F.substr("id", F.lit(4)))).otherwise(F.col("id"))
+    return findings.malformed(f.select(name.alias("id"), F.when(F.col("rn") % 9 == 2, "other").otherwise(F.col("type")).alias("type"), "demand", "proof_path"))
+
+
+@query(f"WITH {E}, w AS (SELECT id, dst AS concept FROM e WHERE type = 'REQUIRES') SELECT id, concept FROM w WHERE concept IN (SELECT dst FROM e WHERE type = 'DEFINES')")
+def i7_defined_near_misses(spark, d):
+    """Every required concept taken for a near miss: those that are defined come out."""
+    e = Graph.read(spark, d).edges
+    claimed = findings.of_type(e, "REQUIRES").select("id", F.lit("near_miss").alias("type"), F.col("dst").alias("concept"))
+    return findings.defined_near_misses(claimed, e)
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT priority, status, n, n // 2 AS valid, n - n // 2 - CASE WHEN status = 'P' THEN 1 ELSE 0 END AS invalid, 0.5 AS rate, CASE WHEN status = 'F' THEN 0.6 ELSE 0.4 END AS low, 0.9 AS high FROM t)
+SELECT priority, status FROM r WHERE n <> valid + invalid OR low > rate OR high < rate""")
+def i8_inconsistent_rates(spark, d):
+    """Summaries by a rule on orders, some with a part missing or with an interval beside the rate."""
+    t = rows(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    half = F.floor(F.col("n") / 2)
+    t = t.withColumns({"valid": half, "invalid": F.col("n") - half - F.when(F.col("status") == "P", 1).otherwise(0), "rate": F.lit(0.5), "low": F.when(F.col("status") == "F", 0.6).otherwise(0.4), "high": F.lit(0.9)})
+    return validation.inconsistent(t).select("priority", "status")
+
+
+@query(f"SELECT id FROM ({SQL['f2_orphan']}) WHERE CAST(right(id, 4) AS INT) % 4 = 0")
+def i10_unshown_findings(spark, d):
+    """Findings of which every fourth was left out of the payload."""
+    f = findings.orphans(Graph.read(spark, d).written())
+    shown = files.payload(f.where(F.substring("id", -4, 4).cast("int") % 4 != 0), ["id", "type"])
+    return findings.unshown(f, shown)
+
+
+@query("WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN text || '–' ELSE text END AS text, url FROM documents) SELECT id, 'text' AS \"column\" FROM d WHERE regexp_matches(text, '[–—]') UNION ALL SELECT id, 'url' FROM d WHERE regexp_matches(url, '[–—]')")
+def i11_dashes(spark, d):
+    """Every seventh text with a dash more."""
+    t = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\u2013"))).otherwise(F.col("text"))
+    return findings.dashes(rows(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), t.alias("text"), "url"), "text", "url")
+
+
+@query("WITH b AS (SELECT c_custkey AS id, c_custkey % 5 AS readers, c_nationkey % 4 AS votes, c_custkey % 3 = 0 AS outside FROM customer) SELECT CAST(id AS VARCHAR) AS id FROM b WHERE readers < 3 OR outside <> (votes * 2 > readers)")
+def i12_doubtful_boundaries(spark, d):
+    c = rows(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % 5).alias("readers"), (F.col("c_nationkey") % 4).alias("votes_outside"), (F.col("c_custkey") % 3 == 0).alias("outside"))
+    return validation.too_few_readers(c)
+
+
 @query(f"""WITH {E} SELECT row_number() OVER (ORDER BY type, src, dst) AS ordinal, 'e:' || lpad(CAST(row_number() OVER (ORDER BY type, src, dst) AS VARCHAR), 5, '0') AS id, type, src, dst FROM e""")
 def w13_renumbered_edges(spark, d):
     return graph.with_ids(Graph.read(spark, d).edges.select(*graph.EDGE)).select("ordinal", "id", "type", "src", "dst")
@@ -359,13 +499,20 @@ def g1_contains_edges(spark, d):
     return e.select("src", "dst", "evidence.span", "evidence.path", F.col("evidence.lines.start").alias("line"))
 
 
-@query()
+@query(f"""WITH {S}, {D}, m AS (SELECT min(id) AS low, max(id) AS top FROM d)
+SELECT id AS src, t AS dst, trim(line) AS span, CAST(lines.start + len(string_split(text, chr(10))) AS INT) AS line FROM (SELECT s.*, unnest([low, top]) AS t, ' see [one](/' || substr(low, 5) || '.md#part) and [again](/' || substr(low, 5) || '.md), [two](/x/../' || substr(top, 5) || '.md), [out](https://x.test/a.md), [gone](gone.md), [self](/' || substr(doc_id, 5) || '.md)' AS line FROM s, m) WHERE t <> doc_id""")
 def g1_link_edges(spark, d):
+    """Every section with a line of links more: to two pages, one of them twice, to outside, to a missing page and to its own."""
     g = Graph.read(spark, d)
-    return graph.link_edges(g.sections, g.docs).select("src", "dst", "evidence.span", F.col("evidence.lines.start").alias("line"))
+    ends = g.docs.agg(F.min("id").alias("low"), F.max("id").alias("top"))
+    stem = lambda c: F.substr(c, F.lit(5))
+    line = F.concat(F.lit(" see [one](/"), stem("low"), F.lit(".md#part) and [again](/"), stem("low"), F.lit(".md), [two](/x/../"), stem("top"), F.lit(".md), [out](https://x.test/a.md), [gone](gone.md), [self](/"), stem("doc_id"), F.lit(".md)"))
+    linked = g.sections.crossJoin(F.broadcast(ends)).withColumn("text", F.concat("text", F.lit("\n"), line))
+    return graph.link_edges(linked, g.docs).select("src", "dst", "evidence.span", F.col("evidence.lines.start").alias("line"))
 
 
-@query()
+@query(f"""WITH {A}, {RAW}, x AS (SELECT 'q:' || raw.number AS src, a.id AS dst, string_split(raw, chr(10)) AS l FROM raw JOIN a ON a.question_id = 'q:' || raw.number),
+y AS (SELECT src, dst, l, greatest(coalesce(list_position(list_transform(l, lambda z: starts_with(z, '## Accepted answer')), true), 0), 1) AS line FROM x) SELECT src, dst, l[line] AS span, CAST(line AS INT) AS line FROM y""")
 def g1_answer_edges(spark, d):
     t = rows(spark, d, "discussions").dropDuplicates(["number"])
     q = t.selectExpr("concat('q:', number) AS id", "number").join(files.rendered(t), "number")
@@ -382,7 +529,19 @@ def pages(spark, d) -> DataFrame:
     return whole.select(F.concat("stem", F.lit(".md")).alias("path"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
 
 
-@query()
+SPLIT = r"""pg AS (SELECT substr(doc_id, 5) AS stem, string_agg(text, chr(10) ORDER BY lines.start, text) AS text FROM s GROUP BY 1),
+pl AS (SELECT stem, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM pg),
+pf AS (SELECT *, regexp_matches(line, '^\s*(`{3,}|~{3,})') AS fence, count(*) OVER (PARTITION BY stem) AS total FROM pl),
+po AS (SELECT *, coalesce(sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY stem ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM pf),
+ph AS (SELECT stem, n AS first, line, coalesce(lead(n) OVER (PARTITION BY stem ORDER BY n) - 1, total) AS last FROM po WHERE NOT fence AND NOT inside AND regexp_matches(line, '^#{1,6}\s+')),
+pt AS (SELECT ph.stem, ph.first, any_value(ph.last) AS last, any_value(ph.line) AS head, string_agg(pl.line, chr(10) ORDER BY pl.n) AS text FROM ph JOIN pl ON pl.stem = ph.stem AND pl.n BETWEEN ph.first AND ph.last GROUP BY ph.stem, ph.first),
+pr AS (SELECT *, length(regexp_extract(head, '^(#+)', 1)) AS level, trim(regexp_replace(regexp_replace(regexp_replace(head, '^#{1,6}\s+', ''), '`([^`]*)`', '\1', 'g'), '\*\*([^*]*)\*\*', '\1', 'g')) AS heading FROM pt),
+ps AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug, list_transform(string_split(replace(regexp_extract(stem, '([^/]*)$', 1), '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])) AS named FROM pr),
+pa AS (SELECT *, row_number() OVER (PARTITION BY stem, slug ORDER BY first) AS nth, arg_min(heading, first) FILTER (level = 1) OVER (PARTITION BY stem) AS one FROM ps),
+px AS (SELECT *, slug || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS anchor FROM pa)"""
+
+
+@query(f"""WITH {S}, {SPLIT} SELECT 'sec:' || stem || '#' || anchor AS id, 'doc:' || stem AS doc_id, coalesce(one, array_to_string(named, ' ')) AS doc_title, heading, CAST(level AS INT) AS level, CAST(first AS INT) AS first, CAST(last AS INT) AS last, stem || '/' || CASE WHEN level > 1 THEN '#' || anchor ELSE '' END AS url, CAST(length(text) AS INT) AS chars FROM px""")
 def sec_p2_sections(spark, d):
     return sections.split_pages(pages(spark, d)).select("id", "doc_id", "doc_title", "heading", "level", F.col("lines.start").alias("first"), F.col("lines.end").alias("last"), "url", "chars")
 
@@ -408,12 +567,14 @@ def x9_scope(spark, d):
     return rows(spark, d, "concepts").select("id", text.out_of_scope(F.col("label")).alias("out_of_scope"))
 
 
-@query()
+@query(f"WITH {S} SELECT id, {NORM.format('text')} AS flat FROM s")
 def x1_normalized(spark, d):
     return Graph.read(spark, d).sections.select("id", text.normalize(F.col("text")).alias("flat"))
 
 
-@query()
+@query(f"""WITH {E}, {S}, {TEXTS}, w AS (SELECT e.id, e.src, {NORM.format('e.evidence.span')} AS span FROM e JOIN s ON s.id = e.src WHERE type IN ('DEFINES', 'REQUIRES', 'MENTIONS')), h AS (SELECT w.*, strpos(flat, span) - 1 AS p FROM w JOIN fl ON fl.id = w.src AND fl.k = 0),
+g AS (SELECT h.id, max(no) FILTER (off <= p) AS lo, max(no) FILTER (off <= p + length(span) - 1) AS hi, any_value(p) AS p FROM h JOIN lp ON lp.id = h.src AND lp.k = 0 GROUP BY h.id)
+SELECT id, CASE WHEN p >= 0 THEN lo END AS start, CASE WHEN p >= 0 THEN hi END AS "end", false AS stripped FROM g""")
 def x3_located_spans(spark, d):
     """Where each edge's span stands in its section, found anew."""
     g = Graph.read(spark, d)
@@ -434,7 +595,7 @@ def s9_substantial_threads(spark, d):
     return files.substantial(t).select("number", files.is_maintainer(F.col("answer.author_association")).alias("maintainer"))
 
 
-@query()
+@query(f"WITH {RAW} SELECT number, raw FROM raw")
 def s11_rendered_threads(spark, d):
     return files.rendered(rows(spark, d, "discussions").dropDuplicates(["number"]))
 
@@ -442,36 +603,67 @@ def s11_rendered_threads(spark, d):
 # ---- proposals -----------------------------------------------------------------------------
 
 
+PROPOSED = f"""pb AS (SELECT 'batch-000' AS batch_id, CASE WHEN n % 20 = 0 THEN 'sec:gone#x' ELSE src END AS section_id, n AS pos, CASE WHEN n % 20 = 1 THEN 'USES' ELSE lower(type) END AS type, substr(dst, 9) AS concept, CASE n % 20 WHEN 2 THEN 'too short' WHEN 3 THEN head WHEN 4 THEN 'these words stand nowhere at all' ELSE span END AS span, confidence
+  FROM (SELECT e.*, evidence.span AS span, string_split(s.text, chr(10))[1] AS head, CAST(regexp_extract(e.id, '[0-9]+') AS BIGINT) AS n FROM e LEFT JOIN s ON s.id = e.src WHERE type IN ('DEFINES', 'REQUIRES', 'MENTIONS'))),
+pp AS (SELECT * FROM pb UNION ALL SELECT * REPLACE ('batch-001' AS batch_id) FROM pb WHERE pos % 10 = 5)"""
+JUDGED = f"""{PROPOSED}, {TEXTS},
+pk AS (SELECT pp.*, upper(trim(pp.type)) AS kind, 'concept:' || lower(regexp_replace(regexp_replace(concept, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS concept_id, {NORM.format('span')} AS nspan, s.id IS NULL AS lost, {NORM.format("string_split(s.text, chr(10))[1]")} AS nhead, s.path FROM pp LEFT JOIN s ON s.id = pp.section_id),
+pe AS (SELECT *, CASE WHEN lost THEN 'unknown_section' WHEN kind NOT IN ('DEFINES', 'REQUIRES', 'MENTIONS') THEN 'bad_type' WHEN length(nspan) < 12 THEN 'short_span' WHEN nspan = nhead THEN 'heading_only' END AS early FROM pk),
+pw AS (SELECT pe.*, fl.k, fl.path AS found_in, strpos(flat, nspan) - 1 AS p, row_number() OVER (PARTITION BY batch_id, pos ORDER BY fl.k) AS r FROM pe JOIN fl ON fl.id = pe.section_id AND contains(flat, nspan) WHERE early IS NULL),
+pd AS (SELECT pw.batch_id, pw.pos, any_value(pw.k) AS k, any_value(found_in) AS found_in, max(no) FILTER (off <= p) AS lo, max(no) FILTER (off <= p + length(nspan) - 1) AS hi FROM pw JOIN lp ON lp.id = pw.section_id AND lp.k = pw.k WHERE r = 1 GROUP BY pw.batch_id, pw.pos),
+pz AS (SELECT pe.*, pd.found_in, pd.lo, pd.hi, pd.k, row_number() OVER (PARTITION BY section_id, concept_id, kind, early, pd.k IS NULL ORDER BY pe.batch_id, pe.pos) AS nth FROM pe LEFT JOIN pd ON pd.batch_id = pe.batch_id AND pd.pos = pe.pos),
+pj AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN k IS NULL THEN 'span_not_found' WHEN nth > 1 THEN 'duplicate' END AS drop_reason FROM pz)"""
+
+
 def proposed(spark, d) -> DataFrame:
-    """The concept edges as they might have been proposed: some for unknown sections, of bad types, too short, or twice."""
-    e = Graph.read(spark, d).edges.where(F.col("type").isin(*TO_CONCEPT))
-    n = F.pmod(F.xxhash64("id"), F.lit(20))
-    base = e.select(F.lit("batch-000").alias("batch_id"), F.when(n == 0, "sec:gone#x").otherwise(F.col("src")).alias("section_id"), F.lit(0).alias("pos"), F.when(n == 1, "USES").otherwise(F.lower("type")).alias("type"), F.regexp_replace("dst", "^concept:", "").alias("concept"), F.when(n == 2, "too short").otherwise(F.col("evidence.span")).alias("span"), "confidence")
-    return base.unionByName(base.where(n.isNull() | (F.pmod(F.xxhash64("span"), F.lit(10)) == 0)).withColumn("batch_id", F.lit("batch-001")))
+    """The concept edges as they might have been proposed: some for unknown sections, of bad types, too short, a heading, nowhere to be found, or twice."""
+    g = Graph.read(spark, d)
+    e = g.edges.where(F.col("type").isin(*TO_CONCEPT)).join(g.sections.select(F.col("id").alias("src"), F.split("text", "\n")[0].alias("head")), "src", "left").withColumn("n", number_of("id"))
+    n = F.col("n") % 20
+    span = F.when(n == 2, "too short").when(n == 3, F.col("head")).when(n == 4, "these words stand nowhere at all").otherwise(F.col("evidence.span"))
+    base = e.select(F.lit("batch-000").alias("batch_id"), F.when(n == 0, "sec:gone#x").otherwise(F.col("src")).alias("section_id"), F.col("n").cast("int").alias("pos"), F.when(n == 1, "USES").otherwise(F.lower("type")).alias("type"), F.regexp_replace("dst", "^concept:", "").alias("concept"), span.alias("span"), "confidence")
+    return base.unionByName(base.where(F.col("pos") % 10 == 5).withColumn("batch_id", F.lit("batch-001")))
 
 
 def judged(spark, d) -> DataFrame:
     return proposals.judged(proposed(spark, d), Graph.read(spark, d).sections)
 
 
-@query()
+@query(f"""WITH {E}, {S}, {JUDGED} SELECT kind AS type, section_id AS src, concept_id AS dst, span, found_in AS path, CAST(lo AS INT) AS first, CAST(hi AS INT) AS last, CASE WHEN found_in = path THEN 'prose' ELSE 'code' END AS kind, CASE WHEN lower(trim(confidence)) IN ('high', 'medium', 'low') THEN lower(trim(confidence)) ELSE 'medium' END AS confidence FROM pj WHERE drop_reason IS NULL""")
 def e1_assembled_edges(spark, d):
     e = proposals.edges_of(judged(spark, d))
     return e.select("type", "src", "dst", "evidence.span", "evidence.path", F.col("evidence.lines.start").alias("first"), F.col("evidence.lines.end").alias("last"), "evidence.kind", "confidence")
 
 
-@query()
+DROPPED = ", ".join(f"count(*) FILTER (coalesce(drop_reason, '') = '{r}') AS dropped_{r}" for r in proposals.REASONS)
+
+
+@query(f"WITH {E}, {S}, {JUDGED} SELECT count(*) FILTER (coalesce(drop_reason, '') <> 'unknown_section') AS proposed, count(*) FILTER (drop_reason IS NULL) AS kept, {DROPPED} FROM pj")
 def v10_ledger(spark, d):
     return proposals.ledger(judged(spark, d))
 
 
+@query(f"WITH {E}, {S}, {JUDGED} SELECT batch_id, section_id, CAST(pos AS INT) AS pos, concept_id, span FROM pj WHERE drop_reason = 'span_not_found' ORDER BY batch_id, section_id, pos LIMIT 40")
+def v10_not_found(spark, d):
+    return proposals.not_found(judged(spark, d))
+
+
+@query(f"WITH {E} SELECT count(*) FILTER (n % 11 = 0 AND type = 'DEFINES') AS landed FROM (SELECT type, CAST(regexp_extract(id, '[0-9]+') AS BIGINT) AS n FROM e)")
+def a22_sweep_landed(spark, d):
+    """Every eleventh definition taken for one of the sweep."""
+    swept = (number_of("id") % 11 == 0) & (F.col("type") == "DEFINES")
+    return proposals.sweep_landed(Graph.read(spark, d).edges.withColumn("extractor", F.when(swept, "definition-sweep").otherwise(F.col("extractor"))))
+
+
 @query("""WITH f AS (SELECT id, kind, unnest(surface_forms) AS form FROM concepts), k AS (SELECT lower(trim(form)) AS key, max(id) FILTER (lower(trim(form)) = lower(trim(label))) AS l, min(id) AS o FROM (SELECT c.id, c.label, unnest(list_concat(c.surface_forms, c.aliases)) AS form FROM concepts c) GROUP BY 1),
 lb AS (SELECT lower(trim(label)) AS key, max(id) AS l FROM concepts GROUP BY 1) SELECT coalesce(lb.key, k.key) AS key, coalesce(lb.l, k.o) AS concept FROM lb FULL JOIN k ON k.key = lb.key""")
 def v15_label_resolver(spark, d):
     return proposals.resolver(rows(spark, d, "concepts"))
 
 
-@query()
+@query("""WITH l AS (SELECT id, unnest(list_append(surface_forms, label)) AS label, generate_subscripts(list_append(surface_forms, label), 1) AS o, coalesce(kind, 'term') AS kind FROM concepts),
+b AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, length(label), min(o)) AS r FROM l GROUP BY id, label), k AS (SELECT id, kind, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, kind DESC) AS r FROM l GROUP BY id, kind)
+SELECT b.id, b.label, k.kind, coalesce((SELECT string_agg(DISTINCT l.label, ',' ORDER BY l.label) FROM l WHERE l.id = b.id AND l.label <> b.label), '') AS aliases FROM b JOIN k ON k.id = b.id AND k.r = 1 WHERE b.r = 1""")
 def v13_voted_concepts(spark, d):
     c = rows(spark, d, "concepts").select(F.col("id").alias("concept_id"), F.posexplode(F.concat("surface_forms", F.array("label"))).alias("ordinal", "label"), F.coalesce("kind", F.lit("term")).alias("kind"))
     v = proposals.voted_concepts(c)
@@ -498,7 +690,9 @@ def v8_confidence(spark, d):
 # ---- batches, ballots, explorer ------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, o AS (SELECT id, doc_id, length(text) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY lines.start) AS rn FROM s),
+b AS (SELECT id, doc_id, rn, 1 AS part, 1 AS held, size FROM o WHERE rn = 1 UNION ALL SELECT o.id, o.doc_id, o.rn, CASE WHEN held >= 12 OR b.size + o.size > 18000 THEN part + 1 ELSE part END, CASE WHEN held >= 12 OR b.size + o.size > 18000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 12 OR b.size + o.size > 18000 THEN o.size ELSE b.size + o.size END FROM b JOIN o ON o.doc_id = b.doc_id AND o.rn = b.rn + 1)
+SELECT doc_id, part, id FROM b""")
 def w15_packed_batches(spark, d):
     return batches.packed(Graph.read(spark, d).sections)
 
@@ -566,9 +760,12 @@ def u2_lookup(spark, d):
     return explorer.lookup(shown(spark, d), spark.createDataFrame([("#F1-0007",), ("#type=all",)], "hash string")).select("id", "concept")
 
 
-@query()
+@query(f"SELECT id, 'near_miss' AS type, CAST(demand AS VARCHAR) AS demand, concept, section, least(len(string_split(questions, ',')), 12) AS questions FROM ({SQL['f1_near_miss']})")
 def s19_payload(spark, d):
-    return files.payload(findings.near_misses(Graph.read(spark, d)), ["id", "type", "demand", "concept", "concept_label", "section", "questions"])
+    """The payload of the near misses, read back."""
+    p = files.payload(findings.near_misses(Graph.read(spark, d).written()), ["id", "type", "demand", "concept", "concept_label", "section", "questions"])
+    field = lambda n: F.get_json_object("json", f"$.{n}").alias(n)
+    return p.select("id", field("type"), field("demand"), field("concept"), field("section"), F.json_array_length(F.get_json_object("json", "$.questions")).cast("bigint").alias("questions"))
 
 
 @query(f"WITH {A}, {Q} SELECT q.id, a.id AS answer, coalesce(a.is_maintainer, false) AS is_maintainer FROM q JOIN a ON a.id = 'ans:' || q.number")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import in_order
 from sparkloom.schema import THREADS
 
 MIN_ANSWER, MIN_QUESTION, PAGES = 120, 80, 60
@@ -51,6 +54,22 @@ def substantial(threads: DataFrame, answer: int = MIN_ANSWER, question: int = MI
     return threads.where((size("answer.body") >= answer) & (size("body") >= question))
 
 
+def newest(threads: DataFrame) -> DataFrame:
+    """Threads with their ``place``, the highest number first, as prompts and reports list them."""
+    lowest = in_order(threads.withColumn("_back", -F.col("number")), "_back").drop("_back")
+    return lowest.withColumnRenamed("ordinal", "place")
+
+
+def fetch_report(pages: DataFrame, threads: DataFrame, commit: str, source: str) -> DataFrame:
+    """One JSON text on what was read: the pinned commit, the pages with bytes and lines, and the threads by descending number."""
+    if not re.fullmatch(r"[0-9a-f]{40}", commit):
+        raise ValueError(f"{commit!r} is no full commit hash")
+    page = pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.array_sort(F.collect_list(F.struct("path", "bytes", "lines"))).alias("listed"))
+    listed = F.sort_array(F.collect_list(F.struct("number", "title")), False)
+    thread = threads.agg(F.count("*").alias("threads"), listed.alias("numbers"))
+    return page.crossJoin(thread).select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(source).alias("corpus"), F.lit(commit).alias("corpus_commit"), "*")).alias("json"))
+
+
 def rendered(threads: DataFrame) -> DataFrame:
     """``number, raw``: a thread as a page whose lines can be cited."""
     head = F.format_string("# %s", F.coalesce("title", F.lit("")))
