@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +42,22 @@ def prompts(batched: DataFrame, sections: DataFrame, head: str, most: int = 3000
     return rows.groupBy("doc_id", "part").agg(F.concat(F.lit(head + "\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n\n")).alias("prompt"))
 
 
+def from_template(rows: DataFrame, batch: str, order: str, template: str, limits: dict[str, int] | None = None, head: str = "", between: str = "\n\n") -> DataFrame:
+    """``batch, prompt``: each row as ``template`` with its ``{column}`` places filled, in order, under one heading text.
+
+    The form of every prompt that lists records: questions to map, definitions to look for,
+    contexts to answer from, answers to score, findings to describe and to validate. A column
+    in ``limits`` is cut to so many characters, a null one is empty.
+    """
+    limits = limits or {}
+    parts: list[Column] = []
+    for k, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        value = F.lit(part) if k % 2 == 0 else F.coalesce(F.col(part).cast("string"), F.lit(""))
+        parts.append(F.substring(value, 1, limits[part]) if k % 2 and part in limits else value)
+    made = rows.select(batch, F.struct(F.col(order).alias("o"), F.concat(*parts).alias("t")).alias("s"))
+    return made.groupBy(batch).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), between)).alias("prompt"))
+
+
 def missing(batches: DataFrame, done: DataFrame, key: str = "batch_id") -> DataFrame:
     return batches.join(done.select(key).distinct(), key, "left_anti")
 

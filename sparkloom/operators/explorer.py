@@ -10,6 +10,11 @@ from sparkloom.functions.text import haystack, parsed_hash
 PAGE = 25
 
 
+def shown_id(concept: Column) -> Column:
+    """A concept's id as readers see it."""
+    return F.regexp_replace(concept, "^concept:", "")
+
+
 def status(findings: DataFrame) -> DataFrame:
     return findings.withColumn("status", F.when(F.col("validated"), "held").when(~F.col("validated"), "failed").otherwise("unchecked"))
 

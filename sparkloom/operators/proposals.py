@@ -156,7 +156,8 @@ def sweep_edges(found: DataFrame, sections: DataFrame, edges: DataFrame) -> Data
     one = hit.withColumn("r", F.row_number().over(W.partitionBy("path", "concept", "span").orderBy("lines.start"))).where("r = 1")
     proof = F.struct("span", F.col("at.path").alias("path"), F.col("at.lines").alias("lines"), F.when(F.col("at.path") == F.col("path"), "prose").otherwise("code").alias("kind"))
     made = one.select(F.lit("DEFINES").alias("type"), F.col("section_id").alias("src"), F.col("concept").alias("dst"), proof.alias("evidence"), F.lit("definition-sweep").alias("extractor"), confidence(F.col("confidence")).alias("confidence"))
-    return made.dropDuplicates(["src", "dst"]).join(edges.where("type = 'DEFINES'").select("src", "dst"), ["src", "dst"], "left_anti")
+    first = made.withColumn("r", F.row_number().over(W.partitionBy("src", "dst").orderBy("evidence.lines.start", "evidence.span"))).where("r = 1").drop("r")
+    return first.join(edges.where("type = 'DEFINES'").select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 def candidate_concepts(edges: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import findings as fnd
+from sparkloom.functions.shared import materialize
 from sparkloom.operators import graph as gr
+from sparkloom.operators import proposals
 from sparkloom.schema import Graph
 
 
-def build(docs: DataFrame, sections: DataFrame, concepts: DataFrame, questions: DataFrame, answers: DataFrame, *edge_sets: DataFrame) -> Graph:
-    """A graph of structural edges and the given ones; concepts without an edge are dropped, edges get dense ids."""
+def build(docs: DataFrame, sections: DataFrame, concepts: DataFrame, questions: DataFrame, answers: DataFrame, *edge_sets: DataFrame, threads: DataFrame | None = None, found: DataFrame | None = None) -> Graph:
+    """A graph of structural edges and the given ones; concepts without an edge are dropped, edges get dense ids.
+
+    ``threads``: rendered threads ``(number, raw)``, for the edges from questions to answers.
+    ``found``: definitions ``(path, concept, span, confidence)`` of the sweep; those of concepts
+    that are still to be defined, and that stand where they say, become edges.
+    """
     edges = gr.contains_edges(sections).unionByName(gr.link_edges(sections, docs))
+    if threads is not None:
+        edges = edges.unionByName(gr.answer_edges(questions.join(threads, "number"), answers))
     for e in edge_sets:
         edges = edges.unionByName(e.select(*gr.EDGE))
+    if found is not None:
+        edges = materialize(edges, "edges")
+        wanted = found.join(proposals.sweep_targets(edges).select("concept"), "concept", "left_semi")
+        edges = edges.unionByName(proposals.sweep_edges(wanted, sections, edges).select(*gr.EDGE))
     numbered = gr.with_ids(edges)
     return Graph(docs, sections, gr.used_concepts(concepts, numbered), questions, answers, numbered)
 
@@ -28,6 +40,3 @@ def manifest(g: Graph, found: DataFrame) -> DataFrame:
 def reached(found: DataFrame) -> DataFrame:
     """``type, threads``: distinct askers of each type of finding."""
     return found.select("type", F.explode("questions").alias("q")).groupBy("type").agg(F.countDistinct("q").alias("threads"))
-
-
-__all__ = ["build", "fnd", "manifest", "reached"]

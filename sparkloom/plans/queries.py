@@ -546,10 +546,12 @@ def sec_p2_sections(spark, d):
     return sections.split_pages(pages(spark, d)).select("id", "doc_id", "doc_title", "heading", "level", F.col("lines.start").alias("first"), F.col("lines.end").alias("last"), "url", "chars")
 
 
-@query()
+@query(f"WITH {S}, {SPLIT} SELECT 'sec:' || stem || '#' || anchor AS id FROM px WHERE first % 7 = 0")
 def sec_p11_broken_cuts(spark, d):
+    """Every seventh section by its first line with a letter too many."""
     p = pages(spark, d)
-    return sections.broken_cuts(sections.split_pages(p), p)
+    cut = sections.split_pages(p)
+    return sections.broken_cuts(cut.withColumn("text", F.when(F.col("lines.start") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))), p)
 
 
 @query(f"WITH {S}, o AS (SELECT chars, row_number() OVER (ORDER BY chars) AS r, count(*) OVER () AS n FROM s) SELECT (SELECT count(*) FROM s) AS sections, (SELECT chars FROM o WHERE r = n // 2 + 1) AS median_chars, max(chars) AS max_chars, count(*) FILTER (chars < 200) AS under_200, count(*) FILTER (len(code) > 0) AS with_code FROM s")
@@ -687,6 +689,14 @@ def v8_confidence(spark, d):
     return Graph.read(spark, d).edges.select("id", proposals.confidence(F.col("confidence")).alias("confidence"))
 
 
+@query(f"""SELECT 'CONTAINS' AS type, count(DISTINCT id) AS n FROM sections UNION ALL SELECT 'ANSWERED_BY', count(*) FROM ({SQL['g1_answer_edges']}) UNION ALL SELECT type, count(*) FROM ({SQL['e1_assembled_edges']}) GROUP BY type UNION ALL SELECT type, count(DISTINCT id) FROM edges WHERE type = 'ASKS_ABOUT' GROUP BY type""")
+def g2_built_graph(spark, d):
+    """The whole build from proposals, threads and mapped questions."""
+    g, t = Graph.read(spark, d), rows(spark, d, "discussions").dropDuplicates(["number"])
+    built = pipeline.build(g.docs, g.sections, g.concepts, g.questions, g.answers, proposals.edges_of(judged(spark, d)), findings.of_type(g.edges, "ASKS_ABOUT"), threads=files.rendered(t))
+    return built.edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
 # ---- batches, ballots, explorer ------------------------------------------------------------
 
 

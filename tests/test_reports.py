@@ -118,3 +118,82 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_commits_trees_and_tokens(monkeypatch):
+    assert http.head_commit(lambda: {"sha": "ab" * 20}) == "ab" * 20
+    with pytest.raises(RuntimeError):
+        http.head_commit(lambda: {"message": "limit"})
+    tree = {"tree": [{"type": "blob", "path": p} for p in ("docs/b.md", "docs/a/c.md", "docs/x.png", "other/y.md")] + [{"type": "tree", "path": "docs/a.md"}]}
+    assert http.listed_pages(tree, "docs") == ["a/c.md", "b.md"]
+    with pytest.raises(RuntimeError):
+        http.listed_pages(tree | {"truncated": True}, "docs")
+    for name in ("SPARKLOOM_TOKEN", "API_TOKEN"):
+        monkeypatch.delenv(name, raising=False)
+    assert http.token() is None and http.token(("echo", "t1")) == "t1" and http.token(("no-such-command-here",)) is None
+    many = {None: {"rows": [{"n": i} for i in range(400)]}}
+    assert len(list(http.pages(many.get))) == 400
+
+
+def test_the_thread_source(spark, tmp_path):
+    """The data source end to end, over a server on this machine."""
+    import http.server
+    import threading
+
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["cursor"]
+            rows = [{"number": n, "title": f"t{n}", "answered": n % 2 == 0, "answer": {"body": "b", "is_maintainer": True} if n % 2 == 0 else None} for n in ((1, 2) if asked is None else (3,))]
+            body = json.dumps({"rows": rows, "next": "c" if asked is None else None}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    from sparkloom.sources.http import ThreadSource
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(ThreadSource)
+        rows = spark.read.format("threads").option("url", f"http://127.0.0.1:{server.server_port}/").load().orderBy("number").collect()
+    finally:
+        server.shutdown()
+    assert [(r.number, r.title, r.answer and r.answer.body) for r in rows] == [(1, "t1", None), (2, "t2", "b"), (3, "t3", None)]
+
+
+def test_fetch_report(spark):
+    pages = spark.createDataFrame([("b.md", 3, 1), ("a.md", 4, 2)], "path string, bytes int, lines int")
+    threads = spark.createDataFrame([(1, "x"), (12, "y"), (3, None)], "number bigint, title string")
+    said = json.loads(files.fetch_report(pages, threads, "0" * 40, "docs").collect()[0].json)
+    assert (said["pages"], said["bytes"], [p["path"] for p in said["listed"]], [n["number"] for n in said["numbers"]]) == (2, 7, ["a.md", "b.md"], [12, 3, 1])
+    with pytest.raises(ValueError):
+        files.fetch_report(pages, threads, "main", "docs")
+
+
+def test_prompts_from_templates(spark):
+    rows = spark.createDataFrame([("b1", 2, "q2", "long text"), ("b1", 1, "q1", None), ("b2", 3, "q3", "z")], "batch string, place int, id string, body string")
+    got = {r.batch: r.prompt for r in batches.from_template(rows, "batch", "place", "ID {id}\n{body}", {"body": 4}, "Answer:\n").collect()}
+    assert got == {"b1": "Answer:\nID q1\n\n\nID q2\nlong", "b2": "Answer:\nID q3\nz"}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sparkloom.__main__ import main
+
+    assert main(["list"]) == 0 and "f1_near_miss" in capsys.readouterr().out
+    assert main(["run", "a2_edges_by_type", "/root/testdata/sf0.001", str(tmp_path / "out")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 3
+
+
+def test_written_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sparkloom.functions.shared import shared_folder
+
+    conf = lambda d: SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: d.get(k, default)))
+    assert shared_folder(conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_folder(conf({"spark.master": "local[4]"})).startswith("file://")
+    with pytest.raises(ValueError):
+        shared_folder(conf({"spark.master": "yarn"}))

@@ -47,3 +47,16 @@ def test_code(spark):
 def test_stats(spark):
     df = spark.createDataFrame([("a", 10, [1]), ("b", 300, []), ("c", 500, None), ("d", 20, [2])], "id string, chars int, code array<int>")
     assert tuple(s.size_stats(df).collect()[0]) == (4, 300, 500, 2, 2)
+
+
+def test_no_two_anchors_are_alike(spark):
+    """Headings that look like a numbered repeat of others, in every order."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    pages_ = [list(x) for x in itertools.product(("a", "a-2", "a-3", "b"), repeat=4)]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in pages_], "s array<string>").select(s.anchors(F.col("s")).alias("x")).collect()]
+    for page, names in zip(pages_, got, strict=True):
+        assert len(set(names)) == len(page) and all(n.startswith(p) for n, p in zip(names, page, strict=True))
+        assert all(names[i] == p for i, p in enumerate(page) if p not in page[:i])
