@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import repaired_json
 from sparkloom.operators.graph import in_order
 from sparkloom.schema import THREADS
 
@@ -80,9 +81,9 @@ def rendered(threads: DataFrame) -> DataFrame:
 
 
 def read_replies(spark: SparkSession, pattern: str) -> DataFrame:
-    """``batch_id, reply`` of the files of a pattern; files that are no JSON are left out."""
+    """``batch_id, reply`` of the files of a pattern; fenced or wrapped JSON is taken out of its wrapping, files without any are left out."""
     raw = spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("batch_id"), F.col("value").alias("reply"))
-    return raw.where(F.try_parse_json("reply").isNotNull())
+    return raw.withColumn("reply", repaired_json(F.col("reply"))).where(F.try_parse_json("reply").isNotNull())
 
 
 def last_wins(rows: DataFrame, key: str, order: str = "batch_id") -> DataFrame:

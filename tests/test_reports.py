@@ -62,7 +62,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "out").mkdir()
     (tmp_path / "out/batch-000.json").write_text('{"a": 1}')
     (tmp_path / "out/batch-001.json").write_text("{broken")
-    assert [tuple(r) for r in files.read_replies(spark, f"{tmp_path}/out/batch-*.json").collect()] == [("batch-000", '{"a": 1}')]
+    (tmp_path / "out/batch-002.json").write_text('Here it is:\n```json\n{"b": 2}\n```\nDone.')
+    assert sorted(tuple(r) for r in files.read_replies(spark, f"{tmp_path}/out/batch-*.json").collect()) == [("batch-000", '{"a": 1}'), ("batch-002", '{"b": 2}\n')]
     keyed = spark.createDataFrame([("k", "batch-000", 1), ("k", "batch-002", 3), ("j", "batch-001", 2)], "key string, batch_id string, v int")
     assert {r.key: r.v for r in files.last_wins(keyed, "key").collect()} == {"k": 3, "j": 2}
 
