@@ -10,8 +10,11 @@
   shuffle; a run it lets through by chance is dropped by the join. Undecided pairs meet the
   counts in joins, so nothing that grows with the corpus reaches the driver.
   A text's own end counts once for all its copies: equal texts are one, and near copies
-  with one last word, met by ``BANDS`` bands of least hashes, share one count. Ends of
-  whole texts count from their fourth class, so no text vouches for its own copies.
+  with one last word, met by ``BANDS`` bands of least hashes, share one count. Of the classes
+  that end with a run, ``OWN`` or, where that is more, ``OWN_SHARE`` of all classes without a
+  stop say no more than shorter runs do: cuts alike grow with the corpus, so a fixed number
+  would let them vouch for each other. A word that begins a longer one counts there as met
+  and going on.
 * ``copied``: at most ``SPARE`` words lie outside the longest run the response shares with
   the prompt's title or text, or every line is such a run. Below three words the response
   must be the title; text without blanks counts by characters.
@@ -38,10 +41,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, materialize, splitmix
 from .lookalike import unified
 
-LANGUAGE_ROWS, NGRAM_BUCKETS, WORDS_KEPT, RUNS_KEPT = 4000, 1 << 16, 200_000, 2_000_000
+LANGUAGE_ROWS, NGRAM_BUCKETS, WORDS_KEPT, RUNS_KEPT, PLACES = 4000, 1 << 16, 200_000, 2_000_000, 1 << 17
 FILTER_BITS, MOST_FILTER_BITS = 32, 27  # of the Bloom filter: for each run, and the exponent of its greatest size
 LEAST_END, PRIOR, SPARE, MARGIN, REPEATS = 0.04, 4.0, 2, 6.0, 3
-BANDS, BAND_ROWS, OWN = 16, 4, 3
+BANDS, BAND_ROWS, OWN, OWN_SHARE = 16, 4, 3, 0.002
 
 # Stand-ins for text, and wordings of refusals and of what may follow them.
 STAND_INS = frozenset("n a|na|none|no response|no text|empty|null|nil|nothing|no answer|no content|no description|no comment|tbd|todo|deleted|removed|blank|no reply|not provided|no description provided|keine antwort|sin respuesta|sans réponse|sem resposta|нет ответа|なし".split("|"))
@@ -71,7 +74,7 @@ KANA = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]+")
 STOPS = frozenset(".!?…。！？")
 
 
-LOWER = np.uint64(xxhash.xxh3_64_intdigest("\0xx"))
+LOWER, UPPER, MIXED = (np.uint64(xxhash.xxh3_64_intdigest("\0" + x)) for x in ("xx", "Xx", "CxC"))
 
 
 def shape(token: str) -> str:
@@ -101,7 +104,7 @@ class Tokens:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((3, WORDS_KEPT * 2), np.uint64)  # word, shape, and 2 for a line feed, 1 for a stop
+        self.table = np.zeros((4, WORDS_KEPT * 2), np.uint64)  # word, shape, 2 for a line feed and 1 for a stop, and 1 for a capital
         self.add("\0")  # number 0 stands between texts
 
     def add(self, t: str) -> int:
@@ -113,6 +116,7 @@ class Tokens:
             xxhash.xxh3_64_intdigest(kind or t.lower()),
             xxhash.xxh3_64_intdigest("\0" + (kind or ("Xx" if t[0].isupper() else "xx"))),
             3 if t == "\0" else 2 if t == "\n" else int(t in STOPS),
+            int(t[0].isupper()),
         )
         return i
 
@@ -177,9 +181,47 @@ def bloom_of(runs: DataFrame) -> Bloom:
     return bloom
 
 
+class Beginnings:
+    """The words that each known token begins with and goes on from, where their runs of one word are wanted."""
+
+    def __init__(self, bloom: Bloom) -> None:
+        self.bloom = bloom
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.many = np.zeros((2, 0), np.int64)  # of each token, in ``words``
+        self.words = np.zeros(0, np.uint64)
+
+    def learn(self, tokens: Tokens) -> None:
+        """Of the tokens that came since; all words that begin a word are plain, those of a name of code up to its first mark."""
+        words, owner = [], []
+        for i, t in enumerate(islice(tokens.known, len(self.first), None)):
+            if len(t) > 1 and t.isidentifier():
+                plain = not shape(t)
+                for size in range(1, len(t)):
+                    if not plain and shape(t[:size]):
+                        break
+                    words.append(xxhash.xxh3_64_intdigest(t[:size].lower()))
+                    owner.append(i)
+        word, of = np.array(words, np.uint64), np.array(owner, np.int64)
+        with np.errstate(over="ignore"):
+            wanted = self.bloom.has(mixed(word * FACTORS[4], 0))
+        many = np.bincount(of[wanted], minlength=len(tokens.known) - len(self.first))
+        self.first = np.concatenate([self.first, len(self.words) + np.cumsum(many) - many])
+        self.many = np.concatenate([self.many, many])
+        self.words = np.concatenate([self.words, word[wanted]])
+
+    def __call__(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each place of ``at`` with the number in ``words`` of each word that begins the token there."""
+        ids = flat[at]
+        many = self.many[ids]
+        before = np.cumsum(many) - many
+        return np.repeat(at, many), np.repeat(self.first[ids] - before, many) + np.arange(many.sum())
+
+
 def counted(batches: Iterator[pa.RecordBatch], bloom: Bloom) -> Iterator[pa.RecordBatch]:
-    """``run, n, inside``: how often each wanted run is met before a text's end, and how often before an end inside a text."""
-    tokens, parts, held = Tokens(), [], 0
+    """``run, n, inside``: how often each wanted run is met and goes on, also within its last word, and how often it meets an end inside a text."""
+    tokens, begins, parts, held = Tokens(), Beginnings(bloom), [], 0
 
     def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, n, e = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -195,6 +237,7 @@ def counted(batches: Iterator[pa.RecordBatch], bloom: Bloom) -> Iterator[pa.Reco
         for lo in range(0, len(texts), 2000):
             if len(tokens.known) > WORDS_KEPT:
                 tokens.clear()
+                begins.clear()
             ids = [0, 0, 0]
             for text in texts[lo : lo + 2000]:
                 if text:
@@ -217,6 +260,26 @@ def counted(batches: Iterator[pa.RecordBatch], bloom: Bloom) -> Iterator[pa.Reco
                     some = bloom.has(k)
                     parts.append((k[some], np.ones(int(some.sum()), np.int64), end[some]))
                     held += len(parts[-1][0])
+            begins.learn(tokens)
+            times, begun = np.zeros(len(begins.words), np.int64), []
+            with np.errstate(over="ignore"):
+                for some in range(0, len(at), PLACES):
+                    where, which = begins(flat, at[some : some + PLACES])
+                    times += np.bincount(which, minlength=len(times))
+                    first = begins.words[which]
+                    wanted = bloom.has(mixed(first * FACTORS[0] + word[where - 1] * FACTORS[1], 1))  # the run of two
+                    where, first = where[wanted], first[wanted]
+                    begun.append(by_words(first, word[where - 1], word[where - 2], word[where - 3])[1:])
+                met = np.flatnonzero(times)
+                parts.append((mixed(begins.words[met] * FACTORS[4], 0), times[met], np.zeros_like(met)))
+                held += len(met)
+                where = at[(form[at] == MIXED) & (tokens.table[3, flat[at]] == 1)]  # a name of code begins with a capitalised word
+                begun.append(by_shape(np.full(len(where), UPPER), form[where - 1], word[where - 1], word[where - 2]))
+            for keys in begun:
+                for k in keys:
+                    k = k[bloom.has(k)]
+                    parts.append((k, np.ones(len(k), np.int64), np.zeros(len(k), np.int64)))
+                    held += len(k)
             if held > RUNS_KEPT:
                 parts = [summed()]
                 held = len(parts[0][0])
@@ -242,19 +305,23 @@ def tail_bands(ids: list[int], table: np.ndarray) -> np.ndarray:
         return splitmix((rows * FACTORS[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + word[-1] * d + np.arange(BANDS, dtype=np.uint64))
 
 
-def last_counts(tails: DataFrame) -> DataFrame:
-    """``run, last``: how often each run ends a text of ``tails(id, bands, ends)``, each class of copies counted once."""
+def end_shares(tails: DataFrame) -> DataFrame:
+    """``ends, share`` of each text of ``tails(id, bands, ends)``, so that each class of copies counts once."""
     held = materialize(tails.groupBy("id").agg(F.first("bands").alias("bands"), F.first("ends").alias("ends")), "tails")
     each = held.select("id", F.explode("bands").alias("band"))
     shared = materialize(each.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
     size = each.join(shared, "band").groupBy("id").agg(F.max("size").alias("size"))
-    share = held.select("id", "ends").join(size, "id", "left").select(F.explode(F.flatten("ends")).alias("run"), (1 / F.coalesce("size", F.lit(1))).alias("share"))
-    return share.groupBy("run").agg(F.sum("share").alias("last"))
+    return held.select("id", "ends").join(size, "id", "left").select("ends", (1 / F.coalesce("size", F.lit(1))).alias("share"))
+
+
+def likelihood(counts: Column, own: float) -> Column:
+    """The probability of an end after runs that go on ``n - inside`` times and end ``inside`` texts and at the ``last`` of them, short runs backing long ones and ``own`` of the last ends."""
 
+    def after(p: Column, c: Column) -> Column:
+        doubtful = F.least(c["last"], F.lit(own))
+        return (c["inside"] + c["last"] - doubtful + (PRIOR + doubtful) * p) / (c["n"] + c["last"] + PRIOR)
 
-def likelihood(counts: Column) -> Column:
-    """The probability of an end after runs counted as ``n, e``, short runs backing long ones."""
-    return F.aggregate(counts, F.lit(0.03), lambda p, c: (c["e"] + PRIOR * p) / (c["n"] + PRIOR))
+    return F.aggregate(counts, F.lit(0.03), after)
 
 
 def likely_ends(groups: DataFrame, threads: DataFrame, columns: list, tails: DataFrame) -> DataFrame:
@@ -263,12 +330,15 @@ def likely_ends(groups: DataFrame, threads: DataFrame, columns: list, tails: Dat
     each = named.select("group", F.posexplode("runs").alias("pos", "run"))
     bloom = threads.sparkSession.sparkContext.broadcast(bloom_of(each.select("run").distinct()))
     met = threads.select(*columns).mapInArrow(lambda it: counted(it, bloom.value), "run bigint, n bigint, inside bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
-    last = last_counts(tails).select("run", F.greatest(F.col("last") - OWN, F.lit(0.0)).alias("last")).where("last > 0")
+    shares = materialize(end_shares(tails), "shares")
+    own = max(float(OWN), OWN_SHARE * (shares.agg(F.sum("share")).first()[0] or 0.0))
+    last = shares.select(F.explode(F.flatten("ends")).alias("run"), "share").groupBy("run").agg(F.sum("share").alias("last"))
     none = F.lit(0).cast("bigint")
     both = met.select("run", "n", "inside", F.lit(0.0).alias("last")).unionByName(last.select("run", none.alias("n"), none.alias("inside"), "last"))
-    total = materialize(both.groupBy("run").agg((F.sum("n") + F.sum("last")).alias("n"), (F.sum("inside") + F.sum("last")).alias("e")), "ends")
-    counts = each.join(total, "run", "left").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("e", F.lit(0.0)).alias("e")))).alias("counts"))
-    return counts.select("group", likelihood(F.col("counts")).alias("p"))
+    names = ["n", "inside", "last"]
+    total = materialize(both.groupBy("run").agg(*(F.sum(x).cast("double").alias(x) for x in names)), "ends")
+    counts = each.join(total, "run", "left").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in names)))).alias("counts"))
+    return counts.select("group", likelihood(F.col("counts"), own).alias("p"))
 
 
 class Languages:

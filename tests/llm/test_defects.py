@@ -103,3 +103,34 @@ def test_runs_are_counted_exactly(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.run: (r.n, r.inside) for r in frame.mapInArrow(lambda it: d.counted(it, bloom), "run bigint, n bigint, inside bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect()}
     assert {k: got[k] for k in wanted} == {k: (n[k], e[k]) for k in wanted}
+
+
+def test_cuts_alike_do_not_vouch_for_each_other(spark, tables):
+    """As many cuts with one same end as a larger table brings along."""
+    rnd = random.Random(8)
+    cut = [" The server does not answer when a cli", " Nobody knows why this happens into"]
+    rows = [(i, body(rnd, "en") + "\nHope this helps") for i in range(3000)] + [(3000 + i, body(rnd, "en") + cut[i % 2]) for i in range(10)]
+    frame = spark.createDataFrame([(i, sentence(rnd, "en")[:-1], text) for i, text in rows], "number bigint, title string, body_text string")
+    frame = frame.withColumns({"answered": F.lit(False), "answer": F.struct(F.lit(None).cast("string").alias("body_text"))})
+    got = d.broken_pairs(frame, "number", tables[1]).where("defect = 'truncated'").collect()
+    assert sorted(r.number for r in got) == list(range(3000, 3010))
+
+
+def test_words_that_begin_others_go_on(spark):
+    tokens = d.Tokens()
+    ends = [d.end_runs(tokens(t), tokens.table) for t in ("when a cli", "comes from Iso", "call get")]
+    bloom = d.bloom_of(spark.createDataFrame([(k,) for k in sorted({k for e in ends for g in e for k in g})], "run bigint"))
+    texts = ["It fails when a client stops. Or when a Climber falls.", "when a cli\nIt comes from IsolatedView or from LocalView, we call get_user here", "call GetUser or getUser, a clip"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.run: (r.n, r.inside) for r in frame.mapInArrow(lambda it: d.counted(it, bloom), "run bigint, n bigint, inside bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).collect()}
+    assert [got[k] for k in ends[0][0][:3]] == [(3, 1), (3, 1), (3, 1)]  # client, Climber and cli itself; clip ends a text
+    assert [got[k] for k in ends[1][1][:2]] == [(7, 0), (2, 0)]  # It, Or, It, IsolatedView, LocalView, GetUser, Climber
+    assert [got[k] for k in ends[2][0][:2]] == [(3, 0), (2, 0)]  # get_user, GetUser, getUser
+
+
+def test_repeated_rows_leave_the_sample_whole(spark):
+    from sparkloom.llm.common import bounded_sample
+
+    rows = spark.range(1000).withColumn("text", F.md5(F.col("id").cast("string")))
+    many = rows.crossJoin(spark.range(50).select()).select("id", "text")
+    assert bounded_sample(many, 300).count() == 300 and bounded_sample(many, 1000).count() == 1000
