@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.shared import materialize
 from sparkloom.functions.stats import mcnemar, rate
 from sparkloom.functions.text import trimmed
 from sparkloom.operators.findings import of_type
 
 TOP_K, SEED_SLOTS, BLOCK_BYTES = 5, 3, 64 << 20
+#: Of ``spread``: bytes of section ids in a file, rows and sums that one task makes.
+DICTIONARY_BYTES, ROWS_A_TASK, SUMS_A_TASK = 600_000, 3_000_000, 500_000
 
 
 def best_of(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -59,14 +62,55 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> Data
     return ranked.where(F.col("rank") <= k)
 
 
-def seeds(edges: DataFrame) -> DataFrame:
-    """``question, section, score``: 3 for each asked concept a section defines, else 1 for each edge of a concept nobody defines."""
-    asks = of_type(edges, "ASKS_ABOUT").select(F.col("src").alias("question"), F.col("dst").alias("concept"))
+def spread(asks: DataFrame, gives: DataFrame, best: int | None = None) -> DataFrame:
+    """``question, section, score``: the sum of ``weight`` times ``score`` over the concepts that a question and a section share.
+
+    ``asks``: ``question, concept, weight``, ``gives``: ``concept, section, score``, each pair once. There are
+    as many rows as pairs that meet, so no pair is shuffled: sections that give the same concepts count
+    as one kind, kinds are sent to the tasks in blocks of counted bytes, a question's sums are made
+    where its concepts lie, and its sections unfold from the kinds at the end. A task gets a counted
+    number of pairs. ``best``: as many rows at most, the highest scores, of each question; ties go to the lower section id.
+    """
+    order = F.array_sort(F.collect_list("section"))
+    held = gives.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("concept", "score"))).alias("held"))
+    kinds = materialize(held.groupBy("held").agg((F.slice(order, 1, best) if best else order).alias("sections")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    asks = materialize(asks, "asks")
+    room = F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
+    size = kinds.agg(F.sum(room)).first()[0] or 0
+    # a file whose rows name few sections keeps them in a dictionary
+    blocks = max(1, -(-size // (BLOCK_BYTES if best else DICTIONARY_BYTES)))
+    into = kinds.select(F.explode("held.concept").alias("concept"), F.size("sections").cast("bigint").alias("n")).groupBy("concept").agg(F.sum("n").alias("sections"), F.count("*").alias("kinds"))
+    met = asks.groupBy("concept").agg(F.count("*").alias("asked")).join(into, "concept").agg(F.sum(F.col("asked") * F.col("sections")), F.sum(F.col("asked") * F.col("kinds"))).first()
+    tasks = max(1, -(-(met[0] or 0) // (blocks * ROWS_A_TASK)), -(-(met[1] or 0) // (blocks * SUMS_A_TASK)))
+    first = F.row_number().over(W.partitionBy("question").orderBy(F.col("score").desc(), "section"))
+    made = None
+    for b in range(blocks):
+        part = kinds.where(F.pmod(F.xxhash64("kind"), F.lit(blocks)) == b)
+        entry = part.select("kind", F.explode("held").alias("e")).select("kind", "e.concept", "e.score")
+        # another number of tasks for each block, else their union would be one task for all blocks
+        sums = asks.repartition(tasks + b, "question").join(F.broadcast(entry), "concept").groupBy("question", "kind").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
+        rows = sums.where("score > 0").join(F.broadcast(part.select("kind", "sections")), "kind").select("question", F.explode("sections").alias("section"), "score")
+        rows = rows.withColumn("rank", first).where(F.col("rank") <= best).drop("rank") if best else rows
+        made = rows if made is None else made.unionByName(rows)
+    return made.withColumn("rank", first).where(F.col("rank") <= best).drop("rank") if best and blocks > 1 else made
+
+
+def asked(edges: DataFrame) -> DataFrame:
+    """``question, concept, weight``: how often a question asks about a concept."""
+    return of_type(edges, "ASKS_ABOUT").where("dst IS NOT NULL").groupBy(F.col("src").alias("question"), F.col("dst").alias("concept")).agg(F.count("*").alias("weight"))
+
+
+def given(edges: DataFrame) -> DataFrame:
+    """``concept, section, score``: 3 for each definition, or 1 for each edge of a concept nobody defines."""
     into = of_type(edges, "DEFINES", "REQUIRES", "MENTIONS").select(F.col("dst").alias("concept"), F.col("src").alias("section"), "type")
     defined = into.where("type = 'DEFINES'").select("concept").distinct().withColumn("defined", F.lit(True))
     usable = into.join(defined, "concept", "left").where("(type = 'DEFINES') = coalesce(defined, false)")
-    per = usable.groupBy("concept", "section").agg(F.sum(F.when(F.col("type") == "DEFINES", 3).otherwise(1)).alias("score"))
-    return asks.join(per, "concept").groupBy("question", "section").agg(F.sum("score").alias("score"))
+    return usable.groupBy("concept", "section").agg(F.sum(F.when(F.col("type") == "DEFINES", 3).otherwise(1)).alias("score"))
+
+
+def seeds(edges: DataFrame) -> DataFrame:
+    """``question, section, score``: 3 for each asked concept a section defines, else 1 for each edge of a concept nobody defines."""
+    return spread(asked(edges), given(edges))
 
 
 def hops(edges: DataFrame, top: DataFrame) -> DataFrame:

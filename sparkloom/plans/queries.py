@@ -204,7 +204,7 @@ seed AS (SELECT question, section, CAST(sum(score) AS BIGINT) AS score FROM asks
 
 @query(SEEDS + " SELECT * FROM seed")
 def a14_seed_scores(spark, d):
-    return retrieval.seeds(Graph.read(spark, d).edges)
+    return retrieval.seeds(Graph.read(spark, d).written().edges)
 
 
 HOPS = SEEDS + """,

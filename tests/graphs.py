@@ -57,3 +57,16 @@ class Drawn:
 
     def frame(self, spark) -> Graph:
         return graph(spark, self.edges, [section(s) for s in self.sections], self.concepts, self.questions, self.answers)
+
+
+def shuffled(spark, work) -> tuple:
+    """What ``work()`` gives, and how many rows it wrote to shuffles."""
+    sc = spark.sparkContext
+
+    def rows() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = rows()
+    return work(), rows() - before

@@ -1,4 +1,8 @@
-from graphs import edge, graph
+import random
+from collections import Counter
+
+import pytest
+from graphs import Drawn, edge, graph, shuffled
 
 from sparkloom.operators import retrieval as r
 
@@ -49,3 +53,31 @@ def test_overlap_of_ways(spark):
     one = spark.createDataFrame([("q:1", ["a", "b"]), ("q:2", ["a"])], "question string, sections array<string>")
     two = spark.createDataFrame([("q:1", ["b", "a"]), ("q:3", ["c"])], "question string, sections array<string>")
     assert tuple(r.retrieval_overlap(one, two).collect()[0]) == (3, 1, 1, 1)
+
+
+def seed_scores(edges):
+    """Brute force: seeds and their scores of each question."""
+    defined, out = {e[3] for e in edges if e[1] == "DEFINES"}, Counter()
+    for a in edges:
+        for e in edges if a[1] == "ASKS_ABOUT" else ():
+            if e[3] == a[3] and (e[1] == "DEFINES" or e[1] in ("REQUIRES", "MENTIONS") and e[3] not in defined):
+                out[a[2], e[2]] += 3 if e[1] == "DEFINES" else 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20, 23))
+def test_seed_scores(spark, seed, monkeypatch):
+    """Also with edges that say a thing twice, in many blocks and tasks."""
+    d = Drawn(seed)
+    e = d.edges + [(f"{x[0]}-again", *x[1:]) for x in d.edges[::7]]
+    want = seed_scores(e)
+    assert {(x.question, x.section): x.score for x in r.seeds(graph(spark, e).edges).collect()} == want and want
+    monkeypatch.setattr(r, "DICTIONARY_BYTES", 40)
+    monkeypatch.setattr(r, "SUMS_A_TASK", 20)
+    assert sorted(map(tuple, r.seeds(graph(spark, e).edges).collect())) == sorted((*k, n) for k, n in want.items())
+
+
+def test_seed_pairs_are_not_shuffled(spark):
+    e = [edge(i, "ASKS_ABOUT", f"q:{i}", f"concept:{i % 2}") for i in range(200)] + [edge(1000 + i, "DEFINES", f"sec:d1#{i}", f"concept:{i % 2}") for i in range(200)]
+    rows, moved = shuffled(spark, lambda: r.seeds(graph(spark, e).edges).count())
+    assert rows == 20_000 and moved < 2_000
