@@ -14,6 +14,8 @@ from sparkloom.functions.text import out_of_scope
 from sparkloom.schema import TO_CONCEPT, Graph
 
 MIN_SECTIONS, COLLISION_RATIO, MIN_OVERLAP, COMPETITORS, MIN_GAP = 2, 0.8, 2, 5, 0.02
+#: Pairs of a question and a section that one task puts together.
+MEET_A_TASK = 1_000_000
 
 
 def of_type(edges: DataFrame, *types: str) -> DataFrame:
@@ -142,21 +144,42 @@ def orphans(g: Graph, least: int = MIN_SECTIONS) -> DataFrame:
     return numbered(made, "F2", F.col("demand").desc(), F.col("in_edges_total").desc(), "concept")
 
 
-def overlaps(edges: DataFrame, least: int = MIN_OVERLAP) -> DataFrame:
-    """``question, section, overlap`` of pairs sharing ``least`` concepts or more.
+def asked_sets(edges: DataFrame) -> DataFrame:
+    return of_type(edges, "ASKS_ABOUT").groupBy(F.col("src").alias("question")).agg(F.array_sort(F.collect_set("dst")).alias("question_concepts"))
+
+
+def held_sets(edges: DataFrame) -> DataFrame:
+    return of_type(edges, *TO_CONCEPT).groupBy(F.col("src").alias("section")).agg(F.array_sort(F.collect_set("dst")).alias("section_concepts"))
+
 
-    A pair that shares two concepts shares one besides the question's most used concept, so
-    candidates skip that one: the concept a tenth of all edges points at joins nothing.
+def meetings(asks: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """Rows of ``asks`` with ``question_concepts`` beside rows of ``held`` with ``section_concepts``, each pair that shares ``least`` or more once, with ``shared``.
+
+    They meet under each pair of concepts (for ``least`` 1 each concept) both have, and only the first such
+    pair counts: nothing is dropped as a repeat after the join. Pairs of concepts under which very many meet
+    are dealt out by the hash of the question, and a task gets a counted number of meetings.
     """
-    asks = of_type(edges, "ASKS_ABOUT").select(F.col("src").alias("question"), F.col("dst").alias("concept")).distinct()
-    held = section_concepts(edges)
-    use = held.groupBy("concept").agg(F.count("*").alias("use"))
-    order = W.partitionBy("question").orderBy(F.coalesce("use", F.lit(0)).desc(), "concept")
-    rarer = asks.join(use, "concept", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") >= least).select("question", "concept")
-    met = rarer.join(held, "concept").select("question", "section").distinct()
-    sets = lambda df, k: df.groupBy(k).agg(F.array_sort(F.collect_set("concept")).alias(f"{k}_concepts"))
-    both = met.join(sets(asks, "question"), "question").join(sets(held, "section"), "section")
-    return both.select("question", "section", F.array_intersect("question_concepts", "section_concepts").alias("shared")).withColumn("overlap", F.size("shared")).where(F.col("overlap") >= least)
+    if least < 2:
+        keys = lambda c: F.transform(c, lambda x: F.array(x))
+    else:
+        keys = lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.array(x, y))))
+    left = materialize(asks.withColumn("key", F.explode(keys("question_concepts"))), "asks")
+    right = materialize(held.withColumn("key", F.explode(keys("section_concepts"))), "held")
+    n = lambda df, c: df.groupBy("key").agg(F.count("*").alias(c))
+    counts = materialize(n(left, "asking").join(n(right, "holding"), "key").select("key", (F.col("asking") * F.col("holding")).alias("meet")), "counts")
+    tasks = -(-(counts.agg(F.sum("meet")).first()[0] or 1) // MEET_A_TASK)
+    busy = F.broadcast(counts.where(F.col("meet") > MEET_A_TASK // 4).select("key", F.ceil(F.col("meet") / (MEET_A_TASK // 4)).alias("hands")))
+    hands = F.coalesce("hands", F.lit(1))
+    dealt = left.join(busy, "key", "left").withColumn("hand", F.pmod(F.xxhash64("question"), hands)).drop("hands")
+    every = right.join(busy, "key", "left").withColumn("hand", F.explode(F.sequence(F.lit(0).cast("bigint"), hands - 1))).drop("hands")
+    met = dealt.repartition(tasks, "key", "hand").join(every.repartition(tasks, "key", "hand").hint("shuffle_hash"), ["key", "hand"])
+    met = met.withColumn("shared", F.array_intersect("question_concepts", "section_concepts"))
+    return met.where((F.col("key") == F.slice("shared", 1, min(least, 2))) & (F.size("shared") >= least)).drop("key", "hand")
+
+
+def overlaps(edges: DataFrame, least: int = MIN_OVERLAP) -> DataFrame:
+    """``question, section, overlap`` of pairs sharing ``least`` concepts or more."""
+    return meetings(asked_sets(edges), held_sets(edges), least).select("question", "section", "shared", F.size("shared").alias("overlap"))
 
 
 def competing(edges: DataFrame) -> DataFrame:

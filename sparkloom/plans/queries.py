@@ -133,7 +133,7 @@ ov AS (SELECT a.src AS question, sc.section, count(*) AS overlap FROM (SELECT DI
 
 @query(OVERLAP + " SELECT question, section, overlap FROM ov")
 def j7_concept_overlap(spark, d):
-    return findings.overlaps(Graph.read(spark, d).edges).select("question", "section", F.col("overlap").cast("bigint").alias("overlap"))
+    return findings.overlaps(Graph.read(spark, d).written().edges).select("question", "section", F.col("overlap").cast("bigint").alias("overlap"))
 
 
 COMPETE = OVERLAP + """,
