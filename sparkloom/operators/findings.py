@@ -182,12 +182,28 @@ def overlaps(edges: DataFrame, least: int = MIN_OVERLAP) -> DataFrame:
     return meetings(asked_sets(edges), held_sets(edges), least).select("question", "section", "shared", F.size("shared").alias("overlap"))
 
 
+def best_overlaps(edges: DataFrame, k: int, least: int = MIN_OVERLAP) -> DataFrame:
+    """``question, section, shared, overlap, place``: of the sections sharing ``least`` concepts or more with a question the first ``k``, most shared first.
+
+    Questions that ask about the same concepts have the same answer, and of sections that hold the
+    same concepts only the first ``k`` can come in: one question for each set meets ``k`` sections
+    for each set, ids alone are ranked, and the concepts are joined to what is left.
+    """
+    asks, held = materialize(asked_sets(edges), "asks"), materialize(held_sets(edges), "held")
+    sets = asks.groupBy("question_concepts").agg(F.min("question").alias("question"))
+    kinds = held.groupBy("section_concepts").agg(F.slice(F.array_sort(F.collect_list("section")), 1, k).alias("sections"))
+    met = meetings(sets, kinds, least).select(F.col("question").alias("like"), F.explode("sections").alias("section"), F.size("shared").alias("overlap"))
+    first = W.partitionBy("like").orderBy(F.col("overlap").desc(), "section")
+    top = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+    like = asks.join(sets.withColumnRenamed("question", "like"), "question_concepts").select("question", "question_concepts", "like")
+    return like.join(top, "like").join(held, "section").select("question", "section", F.array_intersect("question_concepts", "section_concepts").alias("shared"), "overlap", "place")
+
+
 def competing(edges: DataFrame) -> DataFrame:
     """Per question the first five sections within 0.8 of its best overlap, if there are two."""
     q = W.partitionBy("question")
-    near = overlaps(edges).withColumn("best", F.max("overlap").over(q)).where(F.col("overlap") >= F.col("best") * COLLISION_RATIO)
-    five = near.withColumn("place", F.row_number().over(q.orderBy(F.col("overlap").desc(), "section"))).where(F.col("place") <= COMPETITORS)
-    return five.withColumn("among", F.count("*").over(q)).where("among > 1").drop("best", "among")
+    near = best_overlaps(edges, COMPETITORS).withColumn("best", F.max("overlap").over(q)).where(F.col("overlap") >= F.col("best") * COLLISION_RATIO)
+    return near.withColumn("among", F.count("*").over(q)).where("among > 1").drop("best", "among")
 
 
 def collisions(g: Graph, similarity: DataFrame, rivals: DataFrame | None = None) -> DataFrame:

@@ -144,7 +144,7 @@ comp AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY question) AS among
 
 @query(COMPETE + " SELECT question, section, overlap, place FROM comp")
 def w6_competing_sections(spark, d):
-    return findings.competing(Graph.read(spark, d).edges).select("question", "section", F.col("overlap").cast("bigint").alias("overlap"), F.col("place").cast("bigint").alias("place"))
+    return findings.competing(Graph.read(spark, d).written().edges).select("question", "section", F.col("overlap").cast("bigint").alias("overlap"), F.col("place").cast("bigint").alias("place"))
 
 
 @query(COMPETE + f""", {SIM},
