@@ -216,6 +216,7 @@ def collisions(g: Graph, similarity: DataFrame, rivals: DataFrame | None = None)
     rows = rows.withColumn("unknown", F.bool_or(F.col("sim").isNull()).over(q)).where("NOT unknown")
     rows = rows.withColumn("h", F.row_number().over(q.orderBy(F.col("sim").desc(), "place")))
     rows = rows.withColumn("r", F.row_number().over(q.orderBy((F.col("h") == 1).cast("int"), F.col("overlap").desc(), "sim", "place")))
+    rows = materialize(rows.where("h = 1 OR r = 1").select("question", "section", "overlap", "sim", "shared", "h", "r"), "sides")  # read twice; similarities are worked out once
     side = lambda c, n: rows.where(f"{c} = 1").select("question", *[F.col(x).alias(f"{n}_{x}") for x in ("section", "overlap", "sim", "shared")])
     pairs = side("h", "holder").join(side("r", "rival"), "question").where((F.col("rival_overlap") >= F.col("holder_overlap")) & (F.col("holder_sim") - F.col("rival_sim") >= MIN_GAP))
     pair = pairs.withColumns({"lo": F.least("holder_section", "rival_section"), "hi": F.greatest("holder_section", "rival_section")})
