@@ -113,19 +113,46 @@ def seeds(edges: DataFrame) -> DataFrame:
     return spread(asked(edges), given(edges))
 
 
-def hops(edges: DataFrame, top: DataFrame) -> DataFrame:
-    """``question, section, score``: definers of what the top seeds require, themselves not among those seeds."""
+def alike(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``question, like``: for each question the first that asks about the same concepts as often; and ``question, concept, weight`` of those first ones."""
+    sets = materialize(asked(edges).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("concept", "weight"))).alias("asked")), "asked")
+    first = sets.groupBy("asked").agg(F.min("question").alias("like"))
+    asks = first.select(F.col("like").alias("question"), F.explode("asked").alias("a")).select("question", "a.concept", "a.weight")
+    return sets.join(first, "asked").select("question", "like"), asks
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("question").orderBy(F.col("score").desc(), "section")))
+
+
+def best_seeds(edges: DataFrame, k: int) -> DataFrame:
+    """``question, section, score, rank``: the ``k`` best seeds of each question."""
+    like, asks = alike(edges)
+    top = ranked(spread(asks, given(edges), k)).withColumnRenamed("question", "like")
+    return like.join(top, "like").drop("like")
+
+
+def hops(edges: DataFrame, top: DataFrame, best: int | None = None) -> DataFrame:
+    """``question, section, score``: definers of what the top seeds require, themselves not among those seeds; the ``best`` of each question, if given."""
+    top = materialize(top.select("question", F.col("section").alias("seed")), "top")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c)).alias("concept")
     needs = of_type(edges, "REQUIRES").select(F.col("src").alias("seed"), F.col("dst").alias("concept"))
-    gives = of_type(edges, "DEFINES").select(F.col("dst").alias("concept"), F.col("src").alias("section"))
-    found = top.select("question", F.col("section").alias("seed")).join(needs, "seed").join(gives, "concept")
-    return found.join(top.select("question", "section"), ["question", "section"], "left_anti").groupBy("question", "section").agg(F.count("*").alias("score"))
+    asks = top.join(needs, "seed").groupBy("question", name("+", "concept")).agg(F.count("*").alias("weight"))
+    gives = of_type(edges, "DEFINES").groupBy(name("+", "dst"), F.col("src").alias("section")).agg(F.count("*").alias("score"))
+    # a seed is a concept of its own that takes more than all others can give
+    own = top.select("question", name("-", "seed"), F.lit(-(1 << 40)).alias("weight")).distinct()
+    seed = top.select(name("-", "seed"), F.col("seed").alias("section"), F.lit(1).cast("bigint").alias("score")).distinct()
+    return spread(asks.unionByName(own), gives.unionByName(seed), best)
 
 
 def graph_retrieval(edges: DataFrame, top_k: int = TOP_K, seed_slots: int = SEED_SLOTS) -> DataFrame:
-    """``question, sections``: seeds first, then one hop; each side leaves unused slots to the other."""
-    best = W.partitionBy("question").orderBy(F.col("score").desc(), "section")
-    seed = seeds(edges).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    hop = hops(edges, seed.where(F.col("rank") <= seed_slots)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    """``question, sections``: seeds first, then one hop; each side leaves unused slots to the other.
+
+    Questions that ask about the same concepts retrieve the same, so one of each kind is worked out.
+    """
+    like, asks = alike(edges)
+    seed = materialize(ranked(spread(asks, given(edges), top_k)), "seeds")
+    hop = ranked(hops(edges, seed.where(F.col("rank") <= seed_slots), top_k))
     both = seed.select("question", "section", "rank", F.lit(0).alias("hop")).unionByName(hop.select("question", "section", "rank", F.lit(1).alias("hop")))
     q = W.partitionBy("question")
     both = both.withColumns({"n_seed": F.sum(1 - F.col("hop")).over(q), "n_hop": F.sum("hop").over(q)})
@@ -135,7 +162,8 @@ def graph_retrieval(edges: DataFrame, top_k: int = TOP_K, seed_slots: int = SEED
     kept = both.where(F.col("rank") <= F.when(F.col("hop") == 0, for_seed).otherwise(for_hop))
     once = kept.groupBy("question", "section").agg(F.min(F.struct("hop", "rank")).alias("at"))
     listed = once.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("at", "section"))).alias("l"))
-    return listed.select("question", F.slice(F.transform("l", lambda x: x["section"]), 1, top_k).alias("sections"))
+    found = listed.select(F.col("question").alias("like"), F.slice(F.transform("l", lambda x: x["section"]), 1, top_k).alias("sections"))
+    return like.join(found, "like").select("question", "sections")
 
 
 def traversal(edges: DataFrame) -> DataFrame:

@@ -216,8 +216,7 @@ hop AS (SELECT t.question, g.src AS section, count(*) AS score FROM sr t JOIN e
 @query(HOPS + " SELECT * FROM hop")
 def a15_hop_scores(spark, d):
     e = Graph.read(spark, d).written().edges
-    best = W.partitionBy("question").orderBy(F.col("score").desc(), "section")
-    return retrieval.hops(e, retrieval.seeds(e).withColumn("rank", F.row_number().over(best)).where("rank <= 3"))
+    return retrieval.hops(e, retrieval.best_seeds(e, 3))
 
 
 @query(HOPS + """,
@@ -251,8 +250,7 @@ def r1_vector_top5(spark, d):
 b AS (SELECT coalesce(v, []) AS v, coalesce(g, []) AS g FROM v FULL JOIN g USING (question)) SELECT count(*) AS questions, count(*) FILTER (len(g) = 0) AS graph_empty, count(*) FILTER (v = list_sort(g)) AS identical, count(*) FILTER (len(list_filter(g, lambda x: NOT list_contains(v, x))) > 0) AS graph_reached_new FROM b""")
 def a16_retrieval_overlap(spark, d):
     e = Graph.read(spark, d).written().edges
-    best = W.partitionBy("question").orderBy(F.col("overlap").desc(), "section")
-    by_overlap = findings.overlaps(e).withColumn("r", F.row_number().over(best)).where("r <= 5").groupBy("question").agg(F.array_sort(F.collect_list("section")).alias("sections"))
+    by_overlap = findings.best_overlaps(e, 5).groupBy("question").agg(F.array_sort(F.collect_list("section")).alias("sections"))
     return retrieval.retrieval_overlap(by_overlap, retrieval.graph_retrieval(e))
 
 

@@ -81,3 +81,39 @@ def test_seed_pairs_are_not_shuffled(spark):
     e = [edge(i, "ASKS_ABOUT", f"q:{i}", f"concept:{i % 2}") for i in range(200)] + [edge(1000 + i, "DEFINES", f"sec:d1#{i}", f"concept:{i % 2}") for i in range(200)]
     rows, moved = shuffled(spark, lambda: r.seeds(graph(spark, e).edges).count())
     assert rows == 20_000 and moved < 2_000
+
+
+@pytest.mark.parametrize("seed", range(30, 33))
+def test_best_seeds_and_hops(spark, seed):
+    """Against brute force, with edges that say a thing twice; the same for one question of each kind as for all."""
+    d = Drawn(seed, sections=30, concepts=8, questions=25)
+    e = d.edges + [(f"{x[0]}-again", *x[1:]) for x in d.edges[::7]]
+    g, top = graph(spark, e).edges, {}
+    for (q, s), n in seed_scores(e).items():
+        top.setdefault(q, []).append((-n, s))
+    top = {q: sorted(v)[:3] for q, v in top.items()}
+    found = r.best_seeds(g, 3)
+    assert sorted((x.question, x["rank"], x.section, x.score) for x in found.collect()) == sorted((q, i, s, -n) for q, v in top.items() for i, (n, s) in enumerate(v, 1))
+    want = Counter()
+    for q, v in top.items():
+        for _, s in v:
+            for need in (x for x in e if x[1] == "REQUIRES" and x[2] == s):
+                for give in (x for x in e if x[1] == "DEFINES" and x[3] == need[3]):
+                    want[q, give[2]] += give[2] not in {t for _, t in v}
+    want = {k: n for k, n in want.items() if n}
+    assert sorted(map(tuple, r.hops(g, found).collect())) == sorted((*k, n) for k, n in want.items()) and want
+    best = {q: sorted((-n, s) for (p, s), n in want.items() if p == q)[:2] for q in {q for q, _ in want}}
+    assert sorted(map(tuple, r.hops(g, found, 2).collect())) == sorted((q, s, -n) for q, v in best.items() for n, s in v)
+
+
+def many(n: int = 200) -> list:
+    """Questions, sections with what they ask about, and sections one hop on."""
+    e = [edge(i, "ASKS_ABOUT", f"q:{i}", "concept:a") for i in range(n)] + [edge(1000 + i, "DEFINES", f"sec:d1#{1000 + i}", "concept:a") for i in range(n)]
+    return e + [edge(2000 + i, "REQUIRES", f"sec:d1#{1000 + i}", "concept:b") for i in range(n)] + [edge(3000 + i, "DEFINES", f"sec:d1#{3000 + i}", "concept:b") for i in range(n)]
+
+
+def test_hop_pairs_are_not_shuffled(spark):
+    g = graph(spark, many()).edges
+    top = spark.createDataFrame([(f"q:{i}", f"sec:d1#{1000 + k}") for i in range(200) for k in range(3)], "question string, section string")
+    rows, moved = shuffled(spark, lambda: r.hops(g, top).count())
+    assert rows == 40_000 and moved < 10_000
