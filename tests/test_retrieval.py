@@ -117,3 +117,10 @@ def test_hop_pairs_are_not_shuffled(spark):
     top = spark.createDataFrame([(f"q:{i}", f"sec:d1#{1000 + k}") for i in range(200) for k in range(3)], "question string, section string")
     rows, moved = shuffled(spark, lambda: r.hops(g, top).count())
     assert rows == 40_000 and moved < 10_000
+
+
+def test_graph_retrieval_by_counted_rows(spark):
+    """Five sections for all 200 questions alike, and no shuffle of their pairs."""
+    g = graph(spark, many()).edges
+    rows, moved = shuffled(spark, lambda: r.graph_retrieval(g).collect())
+    assert {tuple(x.sections) for x in rows} == {tuple(f"sec:d1#{i}" for i in (1000, 1001, 1002, 3000, 3001))} and len(rows) == 200 and moved < 10_000
